@@ -9,12 +9,12 @@ when 100 * |intersection| >= 75 * |union|.
    their first n - ceil(0.75 n) + 1 elements (their prefix) under any such order; frequencies are needed only for elements
    below the fraction, and the many elements that occur in one set only cannot be shared. A set whose prefix is made of those
    is out at once.
-3. Answers by relation: every set that is left is first compared with one leader (the smallest set) of the lists of its two
-   lowest shared elements. The verified likenesses j(x, leader) are kept: linked sets become one component, and pairs inside
-   a component need no further look. For two sets of one leader the triangle inequality of the Jaccard distance decides
-   without reading them when |d(x, l) - d(y, l)| > 0.25.
+3. Answers by relation: sets that are left are first compared with their neighbours in the order of their lowest shared
+   elements, under WAYS hashes. The verified likenesses are kept: linked sets become one component, and pairs inside a
+   component need no further look, their answer follows. For two sets compared with the same third one, the triangle
+   inequality of the Jaccard distance decides without reading them when |d(x, l) - d(y, l)| > 0.25.
 4. Lists are cut into blocks of BLOCK entries ordered by component and size; a pair of blocks is skipped when both hold one and
-   the same component or their sizes cannot match; within the others, size and position bound the overlap.
+   the same component or their sizes cannot match; within the others, size and position bound the overlap, and pairs with too few common prefix elements are out.
 5. Pairs that are left are verified on the whole texts; components of all links are found by alternating stars.
 """
 
@@ -34,6 +34,10 @@ SHARE = (75, 100)
 #: Part of the hash space whose document frequencies order the prefixes; a little over 1 - SHARE.
 PART = 0.27
 BLOCK = 256
+#: Orders in which neighbours are compared first.
+WAYS = 8
+#: Per cent of the elements beyond the first one that prefixes of linked sets have in common and that are asked for.
+MORE = 30
 #: Members that are compared with one copy of their leader.
 RUN = 2000
 
@@ -139,11 +143,14 @@ def linked_components(docs: DataFrame, share: tuple[int, int] = SHARE, part: flo
     texts = only_listed(docs.where("text is not null and doc_id is not null"), nodes, "doc_id")
     texts = saved(texts, "ngram-texts")
 
-    # answers by relation: one leader for each of the two lowest shared elements
-    lowest = kept.select("rep", "n", F.explode(F.expr("slice(array_sort(transform(ts, x -> x.t)), 1, 2)")).alias("token"))
-    leaders = lowest.groupBy("token").agg(F.min(F.struct("n", "rep")).alias("l"))
-    first = lowest.join(leaders, "token").where("rep <> l.rep").select(F.col("l.rep").alias("a"), F.col("rep").alias("b"), F.col("l.n").alias("an"), "n")
-    first = first.where(f"{share[1]} * least(an, n) >= {share[0]} * greatest(an, n)").select("a", "b").distinct()
+    # answers by relation: neighbours in the order of their lowest shared elements, under several orders
+    lowest = F.array_sort(F.transform("ts", lambda t: F.xxhash64(t["t"], F.col("way"))))
+    ways = kept.select("rep", "n", "ts", F.explode(F.sequence(F.lit(1), F.lit(WAYS))).alias("way")).select("rep", "n", "way", lowest.alias("low"))
+    ways = ways.select("rep", "n", "way", F.expr("slice(low, 1, 2)").alias("key"), F.expr("slice(low, 3, 6)").alias("rest"))
+    chain = Window.partitionBy("way", "key").orderBy("rest", "rep")
+    first = ways.select("rep", "n", F.lag(F.struct("rep", "n")).over(chain).alias("l")).where("l is not null")
+    first = first.where(f"{share[1]} * least(l.n, n) >= {share[0]} * greatest(l.n, n)")
+    first = saved(first.select(F.least("rep", "l.rep").alias("a"), F.greatest("rep", "l.rep").alias("b")).distinct(), "ngram-first")
     answers = saved(verified(first, texts), "ngram-answers")
     link = f"{share[1]} * inter >= {share[0]} * total"
     near = answers.where(link).select("a", "b")
@@ -162,11 +169,16 @@ def linked_components(docs: DataFrame, share: tuple[int, int] = SHARE, part: flo
     block_pairs = block_pairs.select("a.token", F.col("a.block").alias("x"), F.col("b.block").alias("y"))
     left = block_pairs.join(entry.withColumnRenamed("block", "x"), ["token", "x"]).alias("l")
     right = entry.withColumnRenamed("block", "y").alias("r")
-    bound = f"1 + least(l.n - l.pos, r.n - r.pos) - 1 >= ceil({share[0]}D * (l.n + r.n) / {sum(share)})"
+    # of two linked sets, prefixes that are by l - 1 longer than needed for one common element have l in common
+    both = f"cast(ceil({share[0]}D * (l.n + r.n) / {sum(share)}) as int)"
+    most = f"greatest(cast(ceil(l.n * {share[0]}D / {share[1]}) as int), cast(ceil(r.n * {share[0]}D / {share[1]}) as int))"
+    common = f"(1 + ({both} - {most}) * {MORE} div 100)"
+    bound = f"l.pos < l.n - {both} + {common} and r.pos < r.n - {both} + {common}"
     skip = "(l.leader = r.leader and abs(l.dist - r.dist) > {d} + 1e-9)".format(d=1 - share[0] / share[1])
     cond = f"l.token = r.token and l.y = r.y and (l.x < l.y or l.rep < r.rep) and l.comp <> r.comp and {share[1]} * least(l.n, r.n) >= {share[0]} * greatest(l.n, r.n) and {bound} and not {skip}"
-    cross = left.join(right, F.expr(cond)).select(F.expr("least(l.rep, r.rep)").alias("a"), F.expr("greatest(l.rep, r.rep)").alias("b")).distinct()
-    asked = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    cross = left.join(right, F.expr(cond)).select(F.expr("least(l.rep, r.rep)").alias("a"), F.expr("greatest(l.rep, r.rep)").alias("b"), F.expr(common).alias("l"))
+    cross = cross.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("l").alias("l")).where("c >= l").select("a", "b")
+    asked = first
     more = verified(saved(cross.join(asked, ["a", "b"], "left_anti"), "ngram-pairs"), texts).where(link)
     edges = saved(near.union(more.select("a", "b")), "ngram-links")
     final = components(edges, "ngram-components")

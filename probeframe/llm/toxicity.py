@@ -26,6 +26,8 @@ BITS = 18
 THRESHOLD = 0.3
 MAX_POSITIVE = 6000
 MAX_UNLABELLED = 12000
+#: A cell is used if this share of the positives (and MIN_POSITIVES of them) hold it, LIFT times the unlabelled texts' share.
+MIN_SHARE, MIN_POSITIVES, LIFT = 0.006, 4, 3.0
 
 _BREAK = SPACE.copy()
 _BREAK[[ord(c) for c in string.punctuation]] = True
@@ -55,16 +57,24 @@ def _sums(w: np.ndarray, cells: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, bits: int = BITS, epochs: int = 25, rate: float = 0.02, decay: float = 1e-5, batch: int = 500, seed: int = 7) -> tuple[np.ndarray, float]:
+def informative(positive: list[np.ndarray], unlabelled: list[np.ndarray], bits: int = BITS) -> np.ndarray:
+    """Which cells are frequent enough, and more so among positives."""
+    p, u = (np.bincount(np.concatenate(x), minlength=1 << bits) for x in (positive, unlabelled))
+    return (p >= max(MIN_POSITIVES, MIN_SHARE * len(positive))) & (p * len(unlabelled) >= LIFT * u * len(positive))
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, bits: int = BITS, epochs: int = 25, rate: float = 0.02, decay: float = 3e-4, batch: int = 500, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias of the classifier; logistic loss, Adam, non-negative risk with steps against a negative part."""
     rng = np.random.default_rng(seed)
+    used = informative(positive, unlabelled, bits)
+    positive, unlabelled = ([r[used[r]] for r in rows] for rows in (positive, unlabelled))
     w, b = np.zeros(1 << bits), float(np.log(prior / (1 - prior)))
     m, v, mb, vb, t = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0, 0
 
     def grads(rows: list[np.ndarray], sign: float):
         """Mean loss log(1 + exp(-sign z)) and its gradient by cell and bias."""
         first = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
-        cells = np.concatenate(rows) if first[-1] else np.empty(0, np.int64)
+        cells = np.concatenate([*rows, np.empty(0, np.int64)])
         z = sign * (_sums(w, cells, first) + b)
         d = -sign / (1 + np.exp(np.clip(z, -60, 60))) / max(1, len(rows))
         return float(np.logaddexp(0, -z).mean()) if len(rows) else 0.0, np.bincount(cells, np.repeat(d, np.diff(first)), 1 << bits), float(d.sum())
