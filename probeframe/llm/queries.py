@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from .line_dedup import op4_line_dedup
+from .mixing import op10_mix_sources
 from .ngram_join import op9_ngram_jaccard_join
+from .packing import op6_nnls_packing
+from .toxicity import op5_toxicity
 
 QUERIES = {
     "op4_line_dedup": op4_line_dedup,
+    "op5_toxicity": op5_toxicity,
+    "op6_nnls_packing": op6_nnls_packing,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op10_mix_sources": op10_mix_sources,
 }
 
 ORACLES: dict[str, str] = {}
