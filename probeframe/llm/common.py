@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +38,24 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each context."""
+    context = spark.sparkContext
+    if getattr(context, "_probeframe_sent", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="probeframe-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/probeframe.zip", "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    context.addPyFile(f"{folder}/probeframe.zip")
+    context._probeframe_sent = True
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000, mb: int = 8) -> None:
-    """Keep what one Arrow batch brings to a Python worker small, also where texts are long."""
+    """Before Python work: keep what one Arrow batch brings to a worker small, also where texts are long."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
