@@ -19,13 +19,14 @@ from pyspark.sql import functions as F
 
 from .common import only_listed, saved
 
-SEPARATORS = r"[\x20\x09-\x0D]+"
+#: Besides the space and the line feed.
+SEPARATORS = "\t\x0b\x0c\r"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, words, h, g): one row for each line that has words; h and g identify the sequence of its words."""
     each = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    each = each.select("doc_id", "line_no", F.filter(F.split("line", SEPARATORS), lambda w: w != "").alias("words")).where("size(words) > 0")
+    each = each.select("doc_id", "line_no", F.filter(F.split(F.translate("line", SEPARATORS, " " * len(SEPARATORS)), " "), lambda w: w != "").alias("words")).where("size(words) > 0")
     each = each.withColumn("wh", F.transform("words", lambda w: F.xxhash64(w)))
     return each.select("doc_id", "line_no", "words", "wh", F.xxhash64("wh").alias("h"), F.xxhash64(F.lit(1), F.reverse("wh")).alias("g"))
 
@@ -52,50 +53,83 @@ def removed_lines(docs: DataFrame, max_edits: int = 1, min_words: int = 8) -> Da
         raise ValueError("max_edits is 0 or 1")
     docs = docs.select("doc_id", "text")
     lines = _lines(docs)
-    place = F.struct("doc_id", "line_no")
     m = F.size("wh")
-    seqs = lines.select("h", "g", place.alias("place"), F.when(m >= min_words, _halves(F.col("wh"), m)).alias("halves"))
-    seqs = saved(seqs.groupBy("h", "g").agg(F.min("place").alias("place"), F.count("*").alias("n"), F.first("halves").alias("halves")), "lines")
+    known = lines.select("doc_id", "line_no", "h", "g", m.alias("m"), F.when(m >= min_words, _halves(F.col("wh"), m)).alias("halves"))
+    known = saved(known, "lines")
+    place = F.struct("doc_id", "line_no")
+    seqs = known.groupBy("h", "g", "m").agg(F.min(place).alias("place"), F.count("*").alias("n"), F.first("halves").alias("halves"))
+    seqs = saved(seqs, "lines-distinct")
     best = seqs.where("n > 1").select("h", "g", F.col("place").alias("best"))
     if max_edits:
         near = _near(lines, seqs, min_words)
         best = best.union(near).groupBy("h", "g").agg(F.min("best").alias("best"))
     best = saved(best, "lines-best")
-    places = lines.select("doc_id", "line_no", "h", "g")
-    gone = places.join(best, ["h", "g"]).where(F.struct("doc_id", "line_no") > F.col("best"))
+    gone = known.select("doc_id", "line_no", "h", "g").join(best, ["h", "g"]).where(F.struct("doc_id", "line_no") > F.col("best"))
     return gone.select("doc_id", "line_no")
 
 
+def _zobrist(words: Column, seed: int, shift: int = 0) -> Column:
+    """A hash of each word with its place."""
+    return F.transform(words, lambda w, i: F.xxhash64(F.lit(seed), w, i + shift))
+
+
+def _xor(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+
+
 def _near(lines: DataFrame, seqs: DataFrame, min_words: int) -> DataFrame:
-    """(h, g, best): the earliest place of a sequence within one edit, where that is earlier than the sequence itself."""
-    keys = seqs.where("halves is not null").select("h", "g", F.explode("halves").alias("half"))
+    """(h, g, best): the earliest place of a sequence within one edit, where that is earlier than the sequence itself.
+
+    A sequence emits variants only for the kinds of partners that share a half with it: replaced words where one has as many
+    words, missing words where one has a word less. The variants of a line are its hash (an exclusive or of the hashes of
+    words with their places) without one word, so each costs one step.
+    """
+    keys = seqs.where("halves is not null").select("h", "g", "m", F.explode("halves").alias("half"))
     shared = keys.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
-    listed = saved(keys.join(shared, "half").select("h", "g").distinct(), "lines-listed")
+    keys = saved(keys.join(shared, "half"), "lines-halves")
+    sizes = keys.groupBy("half", "m").agg(F.count("*").alias("c"))
+    alike = sizes.where("c > 1").select("half", "m", F.lit(1).alias("kind"))
+    less = sizes.select("half", (F.col("m") + 1).alias("m")).join(sizes.select("half", "m"), ["half", "m"])
+    kinds = alike.union(less.select("half", "m", F.lit(2))).union(less.select("half", F.col("m") - 1, F.lit(4)))
+    listed = keys.join(kinds, ["half", "m"]).groupBy("h", "g").agg(*[F.max(F.when(F.col("kind") == k, True).otherwise(False)).alias(n) for k, n in ((1, "alike"), (2, "longer"), (4, "shorter"))])
+    listed = saved(listed, "lines-listed")
     texts = only_listed(lines.where(F.size("words") >= min_words), listed.select("h", "g"), ["h", "g"])
     texts = texts.groupBy("h", "g").agg(F.min(F.struct("doc_id", "line_no")).alias("place"), F.min_by("words", F.struct("doc_id", "line_no")).alias("words"))
-    texts = saved(texts, "lines-texts")
-    whole = F.transform("words", lambda w: F.xxhash64(w))
-    base = texts.select("h", "g", "place", whole.alias("wh"))
-    without = F.transform(
-        F.sequence(F.lit(1), F.size("wh")),
-        lambda i: F.struct(i.alias("i"), F.concat(F.slice("wh", F.lit(1), i - 1), F.slice("wh", i + 1, F.size("wh"))).alias("rest")),
-    )
-    each = base.select("h", "g", "place", F.explode(without).alias("v")).select("h", "g", "place", "v.i", F.xxhash64("v.rest").alias("k"), F.xxhash64(F.lit(1), F.reverse("v.rest")).alias("l"))
+    texts = saved(texts.join(listed, ["h", "g"]), "lines-texts")
     who = F.struct("place", "h", "g")
-    # replaced words: equal rests at one position
+
+    zs = texts.where("alike").select("h", "g", "place", _zobrist(F.col("words"), 1).alias("z"), _zobrist(F.col("words"), 2).alias("y"))
+    zs = zs.select("h", "g", "place", "z", "y", _xor(F.col("z")).alias("zz"), _xor(F.col("y")).alias("yy"))
+    each = zs.select("h", "g", "place", "zz", "yy", F.posexplode(F.arrays_zip("z", "y")).alias("i", "v"))
+    each = each.select("h", "g", "place", "i", F.col("zz").bitwiseXOR(F.col("v.z")).alias("k"), F.col("yy").bitwiseXOR(F.col("v.y")).alias("l"))
     first = each.groupBy("k", "l", "i").agg(F.min(who).alias("p"), F.count("*").alias("c")).where("c > 1").drop("c")
     replaced = each.join(first, ["k", "l", "i"]).where("p.place < place").select("h", "g", "p")
-    # a word more or less: the rest of one line is the whole of another
-    wholes = base.select(F.col("h").alias("k"), F.col("g").alias("l"), who.alias("q"))
-    rests = each.groupBy("k", "l").agg(F.min(who).alias("p"))
-    pairs = saved(rests.join(wholes, ["k", "l"]).select("k", "l", "p", "q"), "lines-pairs")
+
+    def whole(seed: int) -> Column:
+        return _xor(_zobrist(F.col("words"), seed))
+
+    def without(seed: int) -> Column:
+        """For each place the hash of the line without its word there: words before it at their places, the others one earlier."""
+        start = F.struct(F.lit(0).cast("long").alias("before"), _xor(_zobrist(F.col("words"), seed, -1)).alias("after"), F.array().cast("array<bigint>").alias("out"))
+        both = F.arrays_zip(_zobrist(F.col("words"), seed).alias("a"), _zobrist(F.col("words"), seed, -1).alias("b"))
+
+        def step(acc: Column, x: Column) -> Column:
+            after = acc["after"].bitwiseXOR(x["b"])
+            return F.struct(acc["before"].bitwiseXOR(x["a"]).alias("before"), after.alias("after"), F.concat(acc["out"], F.array(acc["before"].bitwiseXOR(after))).alias("out"))
+
+        return F.aggregate(both, start, step, lambda acc: acc["out"])
+
+    rests = texts.where("longer").select("h", "g", "place", F.explode(F.arrays_zip(without(1).alias("k"), without(2).alias("l"))).alias("v")).select("h", "g", "place", "v.k", "v.l")
+    wholes = texts.where("shorter").select(whole(1).alias("k"), whole(2).alias("l"), who.alias("q"))
+    pairs = saved(rests.groupBy("k", "l").agg(F.min(who).alias("p")).join(wholes, ["k", "l"]), "lines-pairs")
     shorter = pairs.where("p.place < q.place").select("q.h", "q.g", "p")
-    longer = each.join(pairs.select("k", "l", "q"), ["k", "l"]).where("q.place < place").select("h", "g", F.col("q").alias("p"))
-    found = replaced.union(shorter).union(longer).groupBy("h", "g").agg(F.min("p").alias("p")).select("h", "g", F.col("p.h").alias("ph"), F.col("p.g").alias("pg"), F.col("p.place").alias("best"))
+    longer = rests.join(pairs.select("k", "l", "q"), ["k", "l"]).where("q.place < place").select("h", "g", F.col("q").alias("p"))
+    found = replaced.union(shorter).union(longer).groupBy("h", "g").agg(F.min("p").alias("p"))
+    found = found.select("h", "g", F.col("p.h").alias("ph"), F.col("p.g").alias("pg"), F.col("p.place").alias("best"))
     own = texts.select("h", "g", "words")
     other = texts.select(F.col("h").alias("ph"), F.col("g").alias("pg"), F.col("words").alias("others"))
     verified = found.join(own, ["h", "g"]).join(other, ["ph", "pg"]).where(one_edit("words", "others"))
-    return verified.groupBy("h", "g").agg(F.min("best").alias("best"))
+    return verified.select("h", "g", "best")
 
 
 def one_edit(a: str, b: str) -> Column:
