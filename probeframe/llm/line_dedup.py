@@ -23,9 +23,8 @@ from .common import only_listed, saved
 SEPARATORS = "\t\x0b\x0c\r"
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, words, h, g): one row for each line that has words; h and g identify the sequence of its words."""
-    each = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+def _lines(each: DataFrame) -> DataFrame:
+    """(doc_id, line_no, words, wh, h, g) of (doc_id, line_no, line): lines that have words; h and g identify their sequence."""
     each = each.select("doc_id", "line_no", F.filter(F.split(F.translate("line", SEPARATORS, " " * len(SEPARATORS)), " "), lambda w: w != "").alias("words")).where("size(words) > 0")
     each = each.withColumn("wh", F.transform("words", lambda w: F.xxhash64(w)))
     return each.select("doc_id", "line_no", "words", "wh", F.xxhash64("wh").alias("h"), F.xxhash64(F.lit(1), F.reverse("wh")).alias("g"))
@@ -46,13 +45,13 @@ def _halves(wh: Column, m: Column) -> Column:
 def removed_lines(docs: DataFrame, max_edits: int = 1, min_words: int = 8) -> DataFrame:
     """(doc_id, line_no) of the lines that go. max_edits 0 leaves equal lines only; 1 is the production setting.
 
-    Null text: no lines. Rows without doc_id take part as the earliest place and their lines go only by doc_id null. Other
-    columns of docs are not looked at, and several rows of one doc_id count as one place: give such rows ids of their own.
+    Null text: no lines. Rows without doc_id take no part. Other columns of docs are not looked at, and several rows of one
+    doc_id count as one place: give such rows ids of their own.
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
-    docs = docs.select("doc_id", "text")
-    lines = _lines(docs)
+    docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    lines = _lines(docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")))
     m = F.size("wh")
     known = lines.select("doc_id", "line_no", "h", "g", m.alias("m"), F.when(m >= min_words, _halves(F.col("wh"), m)).alias("halves"))
     known = saved(known, "lines")
@@ -61,7 +60,7 @@ def removed_lines(docs: DataFrame, max_edits: int = 1, min_words: int = 8) -> Da
     seqs = saved(seqs, "lines-distinct")
     best = seqs.where("n > 1").select("h", "g", F.col("place").alias("best"))
     if max_edits:
-        near = _near(lines, seqs, min_words)
+        near = _near(docs, seqs)
         best = best.union(near).groupBy("h", "g").agg(F.min("best").alias("best"))
     best = saved(best, "lines-best")
     gone = known.select("doc_id", "line_no", "h", "g").join(best, ["h", "g"]).where(F.struct("doc_id", "line_no") > F.col("best"))
@@ -77,7 +76,7 @@ def _xor(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
 
 
-def _near(lines: DataFrame, seqs: DataFrame, min_words: int) -> DataFrame:
+def _near(docs: DataFrame, seqs: DataFrame) -> DataFrame:
     """(h, g, best): the earliest place of a sequence within one edit, where that is earlier than the sequence itself.
 
     A sequence emits variants only for the kinds of partners that share a half with it: replaced words where one has as many
@@ -92,10 +91,12 @@ def _near(lines: DataFrame, seqs: DataFrame, min_words: int) -> DataFrame:
     less = sizes.select("half", (F.col("m") + 1).alias("m")).join(sizes.select("half", "m"), ["half", "m"])
     kinds = alike.union(less.select("half", "m", F.lit(2))).union(less.select("half", F.col("m") - 1, F.lit(4)))
     listed = keys.join(kinds, ["half", "m"]).groupBy("h", "g").agg(*[F.max(F.when(F.col("kind") == k, True).otherwise(False)).alias(n) for k, n in ((1, "alike"), (2, "longer"), (4, "shorter"))])
-    listed = saved(listed, "lines-listed")
-    texts = only_listed(lines.where(F.size("words") >= min_words), listed.select("h", "g"), ["h", "g"])
-    texts = texts.groupBy("h", "g").agg(F.min(F.struct("doc_id", "line_no")).alias("place"), F.min_by("words", F.struct("doc_id", "line_no")).alias("words"))
-    texts = saved(texts.join(listed, ["h", "g"]), "lines-texts")
+    listed = saved(listed.join(seqs.select("h", "g", "place"), ["h", "g"]), "lines-listed")
+    wanted = saved(listed.groupBy("place.doc_id").agg(F.collect_set("place.line_no").alias("at")), "lines-wanted")
+    found = only_listed(docs, wanted.select("doc_id"), "doc_id").join(wanted, "doc_id").withColumn("parts", F.split("text", "\n"))
+    found = found.select("doc_id", F.explode("at").alias("line_no"), "parts").select("doc_id", "line_no", F.try_element_at("parts", F.col("line_no") + 1).alias("line"))
+    found = _lines(found.where("line is not null")).groupBy("h", "g").agg(F.any_value("words").alias("words"))
+    texts = saved(listed.join(found, ["h", "g"]), "lines-texts")
     who = F.struct("place", "h", "g")
 
     zs = texts.where("alike").select("h", "g", "place", _zobrist(F.col("words"), 1).alias("z"), _zobrist(F.col("words"), 2).alias("y"))
@@ -154,7 +155,7 @@ def dedup_lines(docs: DataFrame, max_edits: int = 1, min_words: int = 8) -> Data
     if clash := {"n_lines", "n_removed", "gone"} & set(docs.columns):
         docs = docs.drop(*clash)
     gone = removed_lines(docs, max_edits, min_words).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
-    both = docs.join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left").drop("gone_id")
+    both = docs.join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id") == F.col("gone_id"), "left").drop("gone_id")
     parts = F.split("text", "\n")
     kept = F.filter(parts, lambda line, i: ~F.array_contains("gone", i))
     empty = F.size(F.filter(kept, lambda line: line.rlike(r"[^\x20\x09-\x0D]"))) == 0
