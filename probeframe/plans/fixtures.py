@@ -47,9 +47,9 @@ def attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("request_id", "head", F.col("pos").alias("query"), F.col("end_token_idx").alias("keys"), row.alias("row"))
 
 
-ATTENTION = TOK + """, at as (select request_id, h as head, pos as query, end_token_idx as keys, k as key, case when k <= pos then v[(h * 16 + k) % 64 + 1] else '-inf'::double end as x
+ATTENTION = TOK + """, att as (select request_id, h as head, pos as query, end_token_idx as keys, k as key, case when k <= pos then v[(h * 16 + k) % 64 + 1] else '-inf'::double end as x
   from tok, unnest(range(4)) a(h), unnest(range(end_token_idx)) b(k) where layer_no = 0),
-  aw as (select request_id, max(query) + 1 as n from at group by 1), ax as (select request_id, max(n) as width from aw group by 1)"""
+  aw as (select request_id, max(query) + 1 as n from att group by 1), ax as (select request_id, max(n) as width from aw group by 1)"""
 
 
 def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def ref_emb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.union(t.where("vec_id % 97 = 0"))
 
 
-REF = TOK + ", r0 as (select * replace (list_transform(v, x -> x + 0.001::double * (vec_id % 3)) as v) from tok where vec_id % 50 <> 0), ref as (select * from r0 union all select * from r0 where vec_id % 97 = 0)"
+REF = TOK + ", r0 as (select * replace (list_transform(v, lambda x: x + 0.001::double * (vec_id % 3)) as v) from tok where vec_id % 50 <> 0), ref as (select * from r0 union all select * from r0 where vec_id % 97 = 0)"
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
