@@ -21,17 +21,55 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The public byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for U+0100 and up, in order."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(own)))}
+
+
 class WordEncoder:
-    """ids of texts for tokenizers that drop white space, so that the pieces between \\x20, \\t, \\n and \\r stand alone.
+    """ids of texts for tokenizers that drop white space, so that the pieces between space, tab, line feed and return stand alone.
 
-    Words come again and again, so their ids are kept: recent ones in ``new``; when it is full it becomes ``old``.
+    Words come again and again, so their ids are kept: recent ones in ``new``; when it is full it becomes ``old``. A new word of
+    Latin letters, with or without marks of TAILS after them, is two pieces to the tokenizer's own pattern, so its letters go
+    straight to the tokenizer's model (for tokenizers that fold case and split letters, digits and marks); all others go
+    through the whole tokenizer.
     """
 
+    TAILS = ".,!?|;:"
+
     def __init__(self, path: str, cached: int = CACHED_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model, self.cached, self.new, self.old = Tokenizer.from_file(path), cached, {}, {}
+        self.letters, self.tails, self.cores = _byte_letters(), {}, {}
+        self.plain = all(self._whole(w) == self._latin(w) for w in ("the", "The", "Été,", "naïve!!", "STRASSE", "größer.", "x|"))
+
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.model.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _latin(self, word: str) -> bytes | None:
+        """The ids of a word of Latin letters and marks, None for other words."""
+        low = word.lower()
+        core = low.rstrip(self.TAILS)
+        if not core.isalpha() or max(core) >= "\u0250":
+            return None
+        out = self.cores.get(core)
+        if out is None:
+            text = core if core.isascii() else "".join([self.letters[b] for b in core.encode()])
+            out = self.cores[core] = np.array([t.id for t in self.model.model.tokenize(text)], dtype="<u4").tobytes()
+            if len(self.cores) > self.cached:
+                self.cores = {}
+        tail = low[len(core) :]
+        if tail:
+            ids = self.tails.get(tail)
+            if ids is None:
+                ids = self._whole(tail)
+                if len(tail) <= 8:
+                    self.tails[tail] = ids
+            out += ids
+        return out
 
     def ids(self, text: str | None) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit values."""
@@ -49,6 +87,8 @@ class WordEncoder:
             x = new.get(w)
             if x is None:
                 x = self.old.get(w)
+                if x is None and self.plain and len(w) <= 64:
+                    x = self._latin(w)
                 if x is None:
                     missing.append(w)
                     continue
