@@ -44,3 +44,31 @@ def coverage(ranges: DataFrame, by: list[str]) -> DataFrame:
 def reservation_class(planned: Column, hooks: Column, free: Column, capacity: int) -> Column:
     """Outcome of one step against the ring: -1 nothing planned, 0 fits, 1 fits after a flush, 2 larger than the ring."""
     return F.when((hooks == 0) | (planned == 0), -1).when(planned > capacity, 2).when(planned <= free, 0).otherwise(1)
+
+
+def reservations(steps: DataFrame, capacity: int, engine: str = "engine", step: str = "step") -> DataFrame:
+    """Adds ``outcome`` and ``level``: the ring's fill is carried from step to step; a flush empties it. What a step meets depends on
+    all steps before it, so rows of an engine are streamed in order with the level as the only state. steps: planned, hooks."""
+
+    def run(frames):
+        key, level = None, 0
+        for f in frames:
+            outcomes, levels = [], []
+            for e, planned, hooks in zip(f[engine], f["planned"], f["hooks"], strict=True):
+                if e != key:
+                    key, level = e, 0
+                if not hooks or not planned:
+                    outcome = -1
+                elif planned > capacity:
+                    outcome = 2
+                elif planned <= capacity - level:
+                    outcome, level = 0, level + planned
+                else:
+                    outcome, level = 1, planned
+                outcomes.append(outcome)
+                levels.append(level)
+            yield f.assign(outcome=outcomes, level=levels)
+
+    kept = steps.select(engine, step, "planned", "hooks")
+    schema = ", ".join(f"{c} {t}" for c, t in kept.dtypes) + ", outcome int, level long"
+    return kept.repartition(engine).sortWithinPartitions(engine, step).mapInPandas(run, schema)
