@@ -10,12 +10,12 @@ when 100 * |intersection| >= 75 * |union|.
    below the fraction, and the many elements that occur in one set only cannot be shared. A set whose prefix is made of those
    is out at once.
 3. Answers by relation: sets that are left are first compared with their neighbours in the order of their lowest shared
-   elements, under WAYS hashes. The verified likenesses are kept: linked sets become one component, and pairs inside a
-   component need no further look, their answer follows. For two sets compared with the same third one, the triangle
-   inequality of the Jaccard distance decides without reading them when |d(x, l) - d(y, l)| > 0.25.
-4. Lists are cut into blocks of BLOCK entries ordered by component and size; a pair of blocks is skipped when both hold one and
-   the same component or their sizes cannot match; within the others, size and position bound the overlap, and pairs with too few common prefix elements are out.
-5. Pairs that are left are verified on the whole texts; components of all links are found by alternating stars.
+   elements, under WAYS hashes. Linked sets become one component, and the answers of pairs inside a component follow from the
+   answers of its links: they need no further look.
+4. Sets of one lowest element stand in blocks of about BLOCK, and index lists name blocks. A set skips a block of its list when
+   all of it belongs to the set's own component, or when sizes or its own position in the order cannot give the overlap.
+5. A set is compared with all of a block's sets in one pass over an index of the block, from whole texts; so large groups cost
+   one row for each set and block, not for each pair. Components of all links are found by alternating stars.
 """
 
 from __future__ import annotations
@@ -33,11 +33,10 @@ SHINGLE = 5
 SHARE = (75, 100)
 #: Part of the hash space whose document frequencies order the prefixes; a little over 1 - SHARE.
 PART = 0.27
+#: Sets of a block, about.
 BLOCK = 256
 #: Orders in which neighbours are compared first.
 WAYS = 8
-#: Per cent of the elements beyond the first one that prefixes of linked sets have in common and that are asked for.
-MORE = 30
 #: Members that are compared with one copy of their leader.
 RUN = 2000
 
@@ -112,6 +111,65 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select("a", "kind", "b", "text").mapInArrow(_likeness, "a long, b long, inter long, total long")
 
 
+def _block_links(share: tuple[int, int]):
+    """Rows sorted by (block, run, kind): the block's sets, then the sets that are asked against all of them."""
+
+    def run(batches):
+        key, held, index = None, [], None
+        for b in batches:
+            out: list[tuple] = []
+            fields = [b.column(i).to_pylist() for i in range(5)]
+            for block, part, kind, who, comp, s in zip(*fields, shingle_sets(b.column(5)), strict=True):
+                if (block, part) != key:
+                    key, held, index = (block, part), [], None
+                if kind == 0:
+                    held.append((who, comp, s))
+                    continue
+                if not held:
+                    continue
+                if index is None:
+                    ids, comps = np.array([h[0] for h in held]), np.array([h[1] for h in held])
+                    size = np.array([len(h[2]) for h in held])
+                    flat, owner = np.concatenate([h[2] for h in held]), np.repeat(np.arange(len(held)), size)
+                    order = np.argsort(flat, kind="stable")
+                    owner = owner[order]
+                    tokens, first = np.unique(flat[order], return_index=True)
+                    index = (tokens, np.append(first, len(flat)))
+                open_ = (ids < who) & (comps != comp)
+                if not open_.any():
+                    continue
+                at = np.searchsorted(index[0], s)
+                at = at[(at < len(index[0])) & (index[0][np.minimum(at, len(index[0]) - 1)] == s)]
+                lo, n = index[1][at], index[1][at + 1] - index[1][at]
+                hits = owner[np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())] if len(at) else np.empty(0, np.int64)
+                inter = np.bincount(hits, minlength=len(held))
+                linked = np.flatnonzero(open_ & (share[1] * inter >= share[0] * (size + len(s) - inter)))
+                if len(linked):  # one link to each component will do
+                    _, one = np.unique(comps[linked], return_index=True)
+                    out += [(int(ids[i]), who) for i in linked[one]]
+            a, z = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def block_links(asked: DataFrame, node: DataFrame, texts: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(a, b): links between components among the sets of a block and those asked against it (block, rep), from whole texts.
+
+    A block is read once for each run of at most RUN sets that are asked; every set of the block is compared in one pass over an
+    index of the block, so a pair costs no row.
+    """
+    bounded_batches(asked.sparkSession)
+    counts = asked.groupBy("block").agg(F.ceil(F.count("*") / RUN).cast("int").alias("runs"))
+    known = node.select("rep", "comp").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    runs = F.pmod(F.xxhash64("rep"), F.col("runs")).cast("int")
+    members = asked.join(counts, "block").select("block", runs.alias("run"), F.lit(1).alias("kind"), "rep").join(known, "rep")
+    blocks = node.join(counts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.lit(0).alias("kind"), "rep").join(known, "rep")
+    fields = ["block", "run", "kind", "rep", "comp", "text"]
+    rows = blocks.select(*fields).union(members.select(*fields)).repartition("block", "run").sortWithinPartitions("block", "run", "kind")
+    return rows.mapInArrow(_block_links(share), "a long, b long")
+
+
 def linked_components(docs: DataFrame, share: tuple[int, int] = SHARE, part: float = PART) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text).
 
@@ -155,32 +213,23 @@ def linked_components(docs: DataFrame, share: tuple[int, int] = SHARE, part: flo
     link = f"{share[1]} * inter >= {share[0]} * total"
     near = answers.where(link).select("a", "b")
     comps = saved(components(near, "ngram-components"), "ngram-components")
-    lead = answers.groupBy("b").agg(F.min_by("a", F.struct((1 - F.col("inter") / F.col("total")).alias("d"), F.col("a"))).alias("leader"), F.min(1 - F.col("inter") / F.col("total")).alias("dist"))
     node = nodes.join(comps, nodes.doc_id == comps.node, "left").select(F.col("doc_id").alias("rep"), F.coalesce("component", "doc_id").alias("comp"))
-    node = node.join(lead.withColumnRenamed("b", "rep"), "rep", "left").select("rep", "comp", F.coalesce("leader", "rep").alias("leader"), F.coalesce("dist", F.lit(0.0)).alias("dist"))
-
-    entry = pos.join(node, "rep")
-    rn = F.row_number().over(Window.partitionBy("token").orderBy("comp", "n", "rep")) - 1
-    entry = saved(entry.withColumn("block", F.floor(rn / BLOCK).cast("int")), "ngram-lists")
-    blocks = entry.groupBy("token", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-    a, b = blocks.alias("a"), blocks.alias("b")
-    fits = f"{share[1]} * a.hi >= {share[0]} * b.lo and {share[1]} * b.hi >= {share[0]} * a.lo"
-    block_pairs = a.join(b, F.expr(f"a.token = b.token and a.block <= b.block and not (a.c0 = b.c1 and a.c1 = b.c0) and {fits}"))
-    block_pairs = block_pairs.select("a.token", F.col("a.block").alias("x"), F.col("b.block").alias("y"))
-    left = block_pairs.join(entry.withColumnRenamed("block", "x"), ["token", "x"]).alias("l")
-    right = entry.withColumnRenamed("block", "y").alias("r")
-    # of two linked sets, prefixes that are by l - 1 longer than needed for one common element have l in common
-    both = f"cast(ceil({share[0]}D * (l.n + r.n) / {sum(share)}) as int)"
-    most = f"greatest(cast(ceil(l.n * {share[0]}D / {share[1]}) as int), cast(ceil(r.n * {share[0]}D / {share[1]}) as int))"
-    common = f"(1 + ({both} - {most}) * {MORE} div 100)"
-    bound = f"l.pos < l.n - {both} + {common} and r.pos < r.n - {both} + {common}"
-    skip = "(l.leader = r.leader and abs(l.dist - r.dist) > {d} + 1e-9)".format(d=1 - share[0] / share[1])
-    cond = f"l.token = r.token and l.y = r.y and (l.x < l.y or l.rep < r.rep) and l.comp <> r.comp and {share[1]} * least(l.n, r.n) >= {share[0]} * greatest(l.n, r.n) and {bound} and not {skip}"
-    cross = left.join(right, F.expr(cond)).select(F.expr("least(l.rep, r.rep)").alias("a"), F.expr("greatest(l.rep, r.rep)").alias("b"), F.expr(common).alias("l"))
-    cross = cross.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("l").alias("l")).where("c >= l").select("a", "b")
-    asked = first
-    more = verified(saved(cross.join(asked, ["a", "b"], "left_anti"), "ngram-pairs"), texts).where(link)
-    edges = saved(near.union(more.select("a", "b")), "ngram-links")
+
+    # sets with one lowest element stand in blocks; a list then names blocks in place of sets
+    home = kept.select("rep", F.expr("array_min(transform(ts, x -> xxhash64(x.t)))").alias("home"))
+    many = home.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    home = home.join(many, "home").select("rep", F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("block"))
+    node = saved(node.join(home, "rep"), "ngram-blocks")
+    entry = saved(pos.join(node, "rep"), "ngram-lists")
+    named = entry.groupBy("token", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("rep").alias("least"))
+    x, y = named.alias("x"), entry.alias("y")
+    sizes = f"{share[1]} * x.hi >= {share[0]} * y.n and {share[1]} * y.n >= {share[0]} * x.lo"
+    smallest = f"greatest(x.lo, cast(ceil(y.n * {share[0]}D / {share[1]}) as int))"
+    reach = f"y.pos <= y.n - cast(ceil({share[0]}D * (y.n + {smallest}) / {sum(share)}) as int)"
+    asked = x.join(y, F.expr(f"x.token = y.token and x.least < y.rep and not (x.c0 = y.comp and x.c1 = y.comp) and {sizes} and {reach}"))
+    asked = saved(asked.select(F.col("x.block").alias("block"), F.col("y.rep").alias("rep")).distinct(), "ngram-asked")
+    more = block_links(asked, node, texts, share)
+    edges = saved(near.union(more), "ngram-links")
     final = components(edges, "ngram-components")
 
     reps = classes.select("k1", "k2", "n", "rep")
