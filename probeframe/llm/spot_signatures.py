@@ -82,10 +82,11 @@ def near_pairs(docs: DataFrame, share: float = 0.75) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, signs) with next_text, next_signs: those of the next row in descending doc_id, after the last the first.
+    """(doc_id, text, next_text) of docs (doc_id, text): next is the next row in descending doc_id, after the last the first.
 
     Rows are dealt into runs of neighbouring ids at percentiles of doc_id, so a window never holds more than about RUN rows of
-    different ids; the first row of each run is handed to the run before it by a join of one row for each run.
+    different ids. The first row of each run is found from ids and hashes alone and is copied into the run before it, as a guest
+    that only serves as the next row of that run's last one. So texts are shuffled once.
     """
     stats = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids")).first()
     runs = max(1, min(RUNS, -(-stats.n // RUN)))
@@ -94,32 +95,31 @@ def with_next(docs: DataFrame) -> DataFrame:
         share = [i / runs for i in range(1, runs)]
         cuts = sorted(set(docs.select(F.percentile_approx("doc_id", share, 10_000)).first()[0]))
     run = F.aggregate(F.array(*[F.lit(c) for c in cuts]), F.lit(0), lambda a, c: a + F.when(F.col("doc_id") <= c, 1).otherwise(0)) if cuts else F.lit(0)
-    rows = docs.withColumn("run", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(run))
-    order = Window.partitionBy("run").orderBy(F.desc_nulls_last("doc_id"), F.xxhash64("text"), "text")
-    rows = rows.withColumn("at", F.row_number().over(order)).withColumn("next", F.lead(F.struct("text", "signs")).over(order))
-    return rows
+    rows = docs.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(run).alias("run"), F.xxhash64("text").alias("h"))
+    firsts = {r.run: r.f for r in rows.groupBy("run").agg(F.max(F.struct("doc_id", F.bitwise_not("h").alias("g"))).alias("f")).collect()}
+    ids = sorted(firsts)
+    table = [(r, ids[i - 1], firsts[r].doc_id, firsts[r].g) for i, r in enumerate(ids)]
+    openings = docs.sparkSession.createDataFrame(table, f"run int, before int, first {dict(docs.dtypes)['doc_id']}, g long")
+    rows = rows.join(F.broadcast(openings), "run")
+    opens = F.col("doc_id").eqNullSafe(F.col("first")) & (F.bitwise_not("h") == F.col("g"))
+    places = F.array(F.struct(F.col("run").alias("run"), F.lit(False).alias("guest")))
+    places = F.when(opens, F.concat(places, F.array(F.struct(F.col("before").alias("run"), F.lit(True).alias("guest"))))).otherwise(places)
+    rows = rows.select("doc_id", "text", "h", F.explode(places).alias("p")).select("doc_id", "text", "h", "p.run", "p.guest")
+    order = Window.partitionBy("run").orderBy("guest", F.desc_nulls_last("doc_id"), "h", "text")
+    return rows.withColumn("next_text", F.lead("text").over(order)).where("not guest").select("doc_id", "text", "next_text")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row of docs (doc_id, text).
 
-    Null text is empty. Rows of one doc_id, and rows without one (they come last), follow each other by their texts. A single row
-    is its own next document. An empty table gives an empty result.
+    Null text is empty. Rows of one doc_id, and rows without one (they come last), follow each other by the hashes of their texts.
+    A single row is its own next document. An empty table gives an empty result.
     """
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(with_signatures(base, "text", "signs"))
-    # the next row of a run's last row is the first row of the next run that has rows; the last run goes on with the first
-    firsts = rows.where("at = 1").select("run", "text", "signs")
-    firsts = saved(firsts, "spot-firsts")
-    ids = sorted(r.run for r in firsts.select("run").collect())
-    follow = {r: ids[(i + 1) % len(ids)] for i, r in enumerate(ids)}
-    table = docs.sparkSession.createDataFrame([(a, b) for a, b in follow.items()] or [(0, 0)], "run int, first int")
-    first = table.join(firsts.withColumnRenamed("run", "first"), "first").select(F.col("run").alias("of"), F.struct("text", "signs").alias("opening"))
-    inner = rows.where("next is not null").select("doc_id", "text", "signs", F.col("next.text").alias("next_text"), F.col("next.signs").alias("next_signs"))
-    last = rows.where("next is null").join(first, F.col("run") == F.col("of")).select("doc_id", "text", "signs", F.col("opening.text").alias("next_text"), F.col("opening.signs").alias("next_signs"))
-    both = inner.union(last).withColumn("n_chars", F.char_length("text").cast("long"))
+    both = with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).withColumn("n_chars", F.char_length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
-    both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third), F.substring("next_text", F.lit(1), third))).drop("next_text", "text")
+    both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third), F.substring("next_text", F.lit(1), third)))
+    both = with_signatures(both, "text", "signs").drop("text")
+    both = with_signatures(both, "next_text", "next_signs").drop("next_text")
     both = with_signatures(both, "edited", "edited_signs")
     return both.select(
         "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), fingerprint(F.col("signs")).alias("fingerprint"),
