@@ -183,20 +183,22 @@ def linked_components(docs: DataFrame, share: tuple[int, int] = SHARE, part: flo
     classes = described.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"))
     need = F.expr(f"n - cast(ceil(n * {share[0]}D / {share[1]}) as int) + 1")
     limit = int(part * 2.0**64) - (1 << 64 if part >= 0.5 else 0)
-    entries = classes.select("rep", "n", "k1", F.size("tokens").alias("m"), F.explode("tokens").alias("token"))
-    entries = entries.select("rep", "n", "m", "token")
+    # tokens come in unsigned order, so the elements below the fraction are the first `low` of them
+    below = F.expr(f"size(filter(tokens, t -> t >= 0 and t < {limit}L))")
+    entries = classes.select("rep", "n", below.alias("low"), F.posexplode("tokens").alias("at", "token"))
     df = F.count("*").over(Window.partitionBy("token"))
     shared = entries.withColumn("df", df).where("df > 1")
-    # unsigned order of the hashes: the sign bit last
-    low = F.expr(f"token >= 0 and token < {limit}L")
-    order = F.struct(F.when(low, 0).otherwise(1).alias("o"), F.when(low, F.col("df")).otherwise(0).alias("f"), F.expr("token < 0").alias("s"), F.col("token").alias("t"))
-    kept = shared.groupBy("rep", "n", "m").agg(F.array_sort(F.collect_list(order)).alias("ts"))
-    # elements of one set only come first in the order, so the prefix holds that many shared ones less; those above the
-    # fraction come last and are all emitted where they count
-    alone = F.col("m") - F.size("ts")
-    kept = kept.withColumn("alone", alone).withColumn("p", need - F.col("alone")).where("p > 0")
+    # the order: below the fraction by frequency and hash, above it by hash, where the place in the set is the position
+    low = F.col("at") < F.col("low")
+    order = F.struct(F.when(low, 0).otherwise(1).alias("o"), F.when(low, F.col("df")).otherwise(F.col("at")).alias("f"), F.col("token").alias("t"))
+    kept = shared.groupBy("rep", "n", "low").agg(F.array_sort(F.collect_list(order)).alias("ts"))
+    # elements below the fraction that occur in one set only come first in the order, so the prefix holds that many shared ones
+    # less; those above the fraction come last, and only those inside the prefix are emitted
+    alone = F.col("low") - F.expr("size(filter(ts, x -> x.o = 0))")
+    kept = kept.withColumn("alone", alone).withColumn("p", F.least(F.size("ts"), need - F.col("low") + F.size("ts"))).where("p > 0")
     kept = saved(kept.select("rep", "n", "alone", F.expr("slice(ts, 1, p)").alias("ts")), "ngram-prefixes")
-    pos = kept.select("rep", "n", F.posexplode("ts").alias("i", "t"), "alone").select("rep", "n", F.col("t.t").alias("token"), (F.col("alone") + F.col("i")).alias("pos"))
+    pos = kept.select("rep", "n", F.posexplode("ts").alias("i", "t"), "alone")
+    pos = pos.select("rep", "n", F.col("t.t").alias("token"), F.when(F.col("t.o") == 0, F.col("alone") + F.col("i")).otherwise(F.col("t.f")).alias("pos"))
     nodes = saved(kept.select(F.col("rep").alias("doc_id")).distinct(), "ngram-nodes")
     texts = only_listed(docs.where("text is not null and doc_id is not null"), nodes, "doc_id")
     texts = saved(texts, "ngram-texts")

@@ -113,6 +113,23 @@ def test_ngram_join_equals_brute_force(spark):
     assert got == linked(docs)
 
 
+def test_ngram_join_links_truncated_copies(spark):
+    """Shorter copies with the larger doc_id, whose shingles other documents share in part: their lists differ from the longer text's."""
+    rng = random.Random(12)
+    docs = {}
+    for g in range(400):
+        w = [f"g{g}x{i}" for i in range(19)]
+        docs[g] = " ".join(w)
+        docs[10_000 + g] = " ".join(w[:16])
+        for j in range(rng.randrange(1, 5)):
+            a = rng.randrange(13)
+            part = w[a : a + rng.randrange(5, 8)]
+            docs[1000 + 10 * g + j] = " ".join([f"g{g}y{j}z{i}" for i in range(8)] + part + [f"g{g}u{j}z{i}" for i in range(8)])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.linked_components(frame(spark, docs)).collect()}
+    want = {i: (len(t.split()) - 4, i - 10_000 if i >= 10_000 else i) for i, t in docs.items()}
+    assert {i: x for i, x in got.items() if x != want[i]} == {}
+
+
 def test_ngram_join_edges(spark, edge, empty):
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.linked_components(edge).collect()}
     assert {(1, 0, 1), (2, 0, 2), (3, 1, 3), (6, 29996, 5), (8, 1, 8), (9, 1, 8)} <= got
