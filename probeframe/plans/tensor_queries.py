@@ -282,7 +282,7 @@ def dict_lookup_default(spark, sf_dir):
 
 @query("overlap_join", f"with {TOK}, q as (select event_id, '0:' || (event_id % 12) as request_id, event_id % 6 as lo, event_id % 6 + 3 as hi from events where event_id < 2000), s as (select request_id, start_token_idx, end_token_idx, count(*) as n from tok where layer_no = 1 group by 1, 2, 3) select event_id, start_token_idx, n from q join s using (request_id) where start_token_idx < hi and end_token_idx > lo")
 def overlap_join(spark, sf_dir):
-    q = read(spark, sf_dir, "events", "event_id").where("event_id < 2000")
+    q = read(spark, sf_dir, "events", "event_id")
     q = q.select("event_id", F.concat(F.lit("0:"), F.col("event_id") % 12).alias("request_id"), (F.col("event_id") % 6).alias("lo"), (F.col("event_id") % 6 + 3).alias("hi"))
     s = tok_emb(spark, sf_dir).where("layer_no = 1").groupBy("request_id", "start_token_idx", "end_token_idx").agg(F.count("*").alias("n"))
     return pairing.overlapping(q, s, ["request_id"], ("lo", "hi"), ("start_token_idx", "end_token_idx")).select("event_id", "start_token_idx", "n")
