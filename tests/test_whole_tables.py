@@ -2,6 +2,7 @@
 
 from probeframe import plans
 from probeframe.plans import fixtures
+from probeframe.schema import hook_defs
 
 
 def events(spark, path, ids):
@@ -21,3 +22,27 @@ def test_overlap_join_reads_every_event(spark, sf, tmp_path):
     want = sorted((i, s, n) for i in ids for (q, s, e), n in spans.items() if q == f"0:{i % 12}" and s < i % 6 + 3 and e > i % 6)
     assert {i for i, _, _ in want} == set(ids)
     assert sorted(map(tuple, plans.QUERIES["overlap_join"](spark, sf_dir).collect())) == want
+
+
+def step_elements(i, kind, q, packed):
+    """Elements of a hook's tensor in step i."""
+    b, kv, keep = 1 if packed else 1 + i % 4, 16 + i % 100, i % 2
+    per = {0: q * 1024, 1: q * 8 * 128, 2: q * 4 * 128, 3: q * 8 * 128, 4: 8 * q * kv, 5: q * 1408, 6: q, 7: (keep or q) * 151_936, 8: q * 60, 9: q * 4, 10: q * 4}
+    return b * per[kind]
+
+
+def test_shapes_and_plans_of_every_step(spark, tmp_path):
+    ids = [0, 1, 2, 3, 9, 10, 17, 35, 1007]
+    sf_dir = events(spark, tmp_path, ids)
+    hooks = [tuple(r) for r in hook_defs(spark).select("id", "shape_class").collect()]
+    got = {(r.step, r.id): r.n for r in plans.QUERIES["hook_shape"](spark, sf_dir).collect()}
+    assert got == {(i, h): step_elements(i, kind, 1 + i % 9, i % 3 == 0) for i in ids for h, kind in hooks}
+
+    def planned(q, packed):
+        n = {i: [step_elements(i, kind, q(i), packed(i)) for _, kind in hooks] for i in ids}
+        return {i: (sum(-(-x * 2 // 16) * 16 for x in v if x), sum(x > 0 for x in v)) for i, v in n.items()}
+
+    got = {r.step: (r.total_bytes, r.hooks) for r in plans.QUERIES["plan_step"](spark, sf_dir).collect()}
+    assert got == planned(lambda i: 1 + i % 9, lambda i: i % 3 == 0)
+    got = {r.step: r.total_bytes for r in plans.QUERIES["decode_step_bytes"](spark, sf_dir).collect()}
+    assert got == {i: x for i, (x, _) in planned(lambda i: 1, lambda i: False).items()}
