@@ -304,7 +304,7 @@ def fifo_pair(spark, sf_dir):
 
 @query("expand_requests", "with s as (select event_id as step, event_id % 3 + 1 as n from events where event_id % 5 = 0) select step, cast(i as int) as ord, 'g' || (step % 4) || ':' || i as req_id, step % 7 as lo, step % 7 + 1 + i as hi from s, unnest(range(n)) u(i)")
 def expand_requests(spark, sf_dir):
-    e = read(spark, sf_dir, "events", F.col("event_id").cast("long").alias("step")).where("step % 5 = 0")
+    e = read(spark, sf_dir, "events", F.col("event_id").cast("long").alias("step"))
     s = F.col("step")
     requests = F.transform(F.sequence(F.lit(0), (s % 3).cast("int")), lambda i: F.struct(i.alias("ord"), F.concat(F.lit("g"), s % 4, F.lit(":"), i).alias("req_id"), (s % 7).alias("lo"), (s % 7 + 1 + i).alias("hi")))
     return pairing.expanded(e.withColumn("requests", requests), ["step"])

@@ -46,3 +46,10 @@ def test_shapes_and_plans_of_every_step(spark, tmp_path):
     assert got == planned(lambda i: 1 + i % 9, lambda i: i % 3 == 0)
     got = {r.step: r.total_bytes for r in plans.QUERIES["decode_step_bytes"](spark, sf_dir).collect()}
     assert got == {i: x for i, (x, _) in planned(lambda i: 1, lambda i: False).items()}
+
+
+def test_requests_of_every_step_are_expanded(spark, tmp_path):
+    ids = [0, 1, 2, 4, 5, 10, 23]
+    want = sorted((i, k, f"g{i % 4}:{k}", i % 7, i % 7 + 1 + k) for i in ids for k in range(i % 3 + 1))
+    got = plans.QUERIES["expand_requests"](spark, events(spark, tmp_path, ids)).select("step", "ord", "req_id", "lo", "hi")
+    assert sorted(map(tuple, got.collect())) == want
