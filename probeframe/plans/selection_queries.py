@@ -195,10 +195,10 @@ def coverage_check(spark, sf_dir):
 
 @query("match_token_ranges", f"with {STEPS}, d as (select distinct slot, range_start, range_end from rg where range_end > range_start and grp = 0), l as (select *, lag(range_end) over (partition by slot order by range_start, range_end) as p from d) select slot, count(*) as n, min(range_start) = 0 and sum(case when p is not null and p <> range_start then 1 else 0 end) = 0 as complete from l group by 1")
 def match_token_ranges(spark, sf_dir):
-    d = _ranges(spark, sf_dir).where("range_end > range_start and grp = 0")
-    got = d.groupBy("slot").agg(F.array_sort(F.collect_set(F.struct("range_start", "range_end"))).alias("r"))
+    d = _ranges(spark, sf_dir).where("range_end > range_start")
+    got = d.groupBy("slot", "grp").agg(F.array_sort(F.collect_set(F.struct("range_start", "range_end"))).alias("r"))
     whole = F.forall(F.sequence(F.lit(1), F.size("r")), lambda i: F.element_at("r", i)["range_start"] == F.when(i == 1, 0).otherwise(F.element_at("r", F.greatest(i - 1, F.lit(1)))["range_end"]))
-    return got.select("slot", F.size("r").cast("long").alias("n"), whole.alias("complete"))
+    return got.select("slot", "grp", F.size("r").cast("long").alias("n"), whole.alias("complete"))
 
 
 @query("packed_offsets", "select event_id, user_id, coalesce(cast(sum(1 + event_id % 4) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) as bigint), 0) as dim0 from events")

@@ -76,7 +76,7 @@ def merge_attention(spark, sf_dir):
 
 @query("attention_batch_stack", f"with {_MERGED}, s as (select request_id, max(query) + 1 as q, max(key) + 1 as k from mg group by 1), z as (select max(q) as qw, max(k) as kw from s) select m.request_id, m.head, m.query + z.qw - s.q as q_slot, m.key + z.kw - s.k as k_slot, case when x = '-inf'::double then -1e9 else x end as value from mg m join s using (request_id), z where m.head < 2")
 def attention_batch_stack(spark, sf_dir):
-    m = reassemble.merged_attention(attention(spark, sf_dir).where("head < 2"), ["request_id", "head"], float("-inf"))
+    m = reassemble.merged_attention(attention(spark, sf_dir), ["request_id", "head"], float("-inf"))
     size = m.groupBy("request_id").agg((F.max("query") + 1).alias("q"), (F.max("key") + 1).alias("k"))
     whole = size.agg(F.max("q").alias("qw"), F.max("k").alias("kw"))
     b = m.join(size, "request_id").crossJoin(F.broadcast(whole))
@@ -107,8 +107,8 @@ def require_count(spark, sf_dir):
 def token_mask(spark, sf_dir):
     from .selection_queries import _ranges
 
-    r = _ranges(spark, sf_dir).where("grp = 0").withColumnRenamed("slot", "request_id")
-    return reassemble.token_mask(r)
+    r = _ranges(spark, sf_dir).withColumnRenamed("slot", "request_id")
+    return reassemble.token_mask(r, ["request_id", "grp"])
 
 
 @query("shape_uniformity", f"with {TOK} select layer_no, count(distinct len(v)) as shapes, count(*) as n from tok group by 1")

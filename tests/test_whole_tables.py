@@ -1,5 +1,7 @@
 """Queries over whole tables, counted out in Python: no fixed part of the ids, heads or groups is left out."""
 
+import random
+
 from probeframe import plans
 from probeframe.plans import fixtures
 from probeframe.schema import hook_defs
@@ -53,3 +55,44 @@ def test_requests_of_every_step_are_expanded(spark, tmp_path):
     want = sorted((i, k, f"g{i % 4}:{k}", i % 7, i % 7 + 1 + k) for i in ids for k in range(i % 3 + 1))
     got = plans.QUERIES["expand_requests"](spark, events(spark, tmp_path, ids)).select("step", "ord", "req_id", "lo", "hi")
     assert sorted(map(tuple, got.collect())) == want
+
+
+def ranges(ids):
+    """{(slot, grp): [(start, end)]} of events(): a signup or a user's first event starts a group, an error ends its growth."""
+    out, state = {}, {}
+    for i in ids:
+        slot, kind = i % 7, ("signup", "click", "error", "view", "signup")[i * i % 5]
+        grp, end, over = state.get(slot, (-1, 0, False))
+        if kind == "signup" or grp < 0:
+            grp, end, over = grp + 1, 0, False
+        over = over or kind == "error"
+        n = 0 if over else 1 + i % 5 if kind == "signup" else 1
+        out.setdefault((slot, grp), []).append((end, end + n))
+        state[slot] = (grp, end + n, over)
+    return out
+
+
+def test_every_group_is_judged_and_masked(spark, tmp_path):
+    ids = sorted(random.Random(3).sample(range(400), 120))
+    sf_dir, by = events(spark, tmp_path, ids), ranges(ids)
+    assert len({g for _, g in by}) > 3
+    got = {(r.slot, r.grp): (r.n, r.complete) for r in plans.QUERIES["match_token_ranges"](spark, sf_dir).collect()}
+    filled = {k: {x for x in v if x[1] > x[0]} for k, v in by.items()}
+    assert got == {k: (len(v), True) for k, v in filled.items() if v}
+    got = {(r.request_id, r.grp, r.slot): r.present for r in plans.QUERIES["token_mask"](spark, sf_dir).collect()}
+    end = {k: v[-1][1] for k, v in by.items()}
+    width = max(end.values())
+    assert got == {(*k, s): s >= width - end[k] for k in by for s in range(width)}
+
+
+def test_every_head_is_stacked(spark, sf):
+    got = {(r.request_id, r.head, r.q_slot, r.k_slot): r.value for r in plans.QUERIES["attention_batch_stack"](spark, sf).collect()}
+    rows = fixtures.attention(spark, sf).collect()
+    size, width = {}, {}
+    for r in rows:
+        size[r.request_id] = max(size.get(r.request_id, 0), r.query + 1)
+        width[r.request_id] = max(width.get(r.request_id, 0), r["keys"])
+    dq, dk = ({k: max(x.values()) - v for k, v in x.items()} for x in (size, width))
+    low = float("-inf")
+    want = {(r.request_id, r.head, r.query + dq[r.request_id], k + dk[r.request_id]): r.row[k] if k < len(r.row) else low for r in rows for k in range(width[r.request_id])}
+    assert {k[1] for k in got} == {0, 1, 2, 3} and got == {k: -1e9 if v == low else v for k, v in want.items()}
