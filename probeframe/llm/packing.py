@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, saved
-from .tokens import END, VOCABULARY, WordEncoder, vocabulary_path
+from .tokens import END, VOCABULARY, encoder, vocabulary_path
 
 WINDOW = 4096
 WIDTH = 8
@@ -108,16 +108,16 @@ def plan(hist: np.ndarray, bins: int) -> list[tuple[int, list[tuple[int, int]]]]
 
 def _pieces(path: str, window: int, end: int, with_ids: bool):
     def run(batches):
-        encoder = WordEncoder(path)
-        tail = np.array([end], dtype="<u4").tobytes()
+        own = encoder(path)
         for b in batches:
+            ids, first = own.batch(b.column(2))
             rows: list[tuple] = []
-            for key, copy, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                ids = encoder.ids(text.as_py()) + tail
-                n = len(ids) // 4
+            for i, (key, copy) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                mine = np.append(ids[first[i] : first[i + 1]], np.uint32(end)).astype("<u4", copy=False)
+                n = len(mine)
                 for a in range(0, n, window):
-                    part = ids[4 * a : 4 * (a + window)]
-                    rows.append((key, copy, a, len(part) // 4, zlib.crc32(part), n, part if with_ids else None))
+                    part = mine[a : a + window]
+                    rows.append((key, copy, a, len(part), zlib.crc32(part), n, part.tobytes() if with_ids else None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 7, KINDS, strict=True)], names=NAMES)
 
     return run

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, saved, scratch
-from .tokens import END, VOCABULARY, WordEncoder, vocabulary_path
+from .tokens import END, VOCABULARY, encoder, vocabulary_path
 
 WINDOW = 2048
 #: Pieces and tokens of a block at most (a block ends after the document that reaches one of them, or within a longer one).
@@ -77,24 +77,28 @@ def best_fit(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray,
     return sequence, offset, count
 
 
-def _write(folder: str, path: str, window: int, end: int, pad: int, wide: bool):
+def _write(folder: str, path: str, window: int, end: int, pad: int, wide: bool | None):
     def run(batches):
         where = TaskContext.get()
         stem = f"part-{where.partitionId():06d}-{where.taskAttemptId()}"
         system, place = fs.FileSystem.from_uri(folder)
-        encoder, tail = WordEncoder(path), np.array([end], dtype="<u4").tobytes()
-        kind = np.uint32 if wide else np.uint16
+        own = encoder(path)
+        large = max(own.largest, end, pad) > 0xFFFF
+        kind = np.uint32 if (large if wide is None else wide) else np.uint16
+        if large and kind is np.uint16:
+            raise ValueError("ids of this vocabulary need more than 16 bits")
         pieces: list[tuple] = []
+        counted = np.arange(window)
         state = {"tokens": 0, "block": 0}
 
         def flush():
-            lengths = np.array([len(p[2]) // 4 for p in pieces], dtype=np.int64)
+            lengths = np.array([len(p[2]) for p in pieces], dtype=np.int64)
             seq, off, n = best_fit(lengths, window)
             ids, positions = np.full((n, window), pad, dtype=kind), np.zeros((n, window), dtype=np.uint16 if window <= 1 << 16 else np.uint32)
             order = np.lexsort((off, seq))
             for i in order:
-                ids[seq[i], off[i] : off[i] + lengths[i]] = np.frombuffer(pieces[i][2], dtype="<u4")
-                positions[seq[i], off[i] : off[i] + lengths[i]] = np.arange(lengths[i])
+                ids[seq[i], off[i] : off[i] + lengths[i]] = pieces[i][2]
+                positions[seq[i], off[i] : off[i] + lengths[i]] = counted[: lengths[i]]
             segment = np.empty(len(pieces), np.int64)
             segment[order] = np.arange(len(pieces))
             out = io.BytesIO()
@@ -111,13 +115,14 @@ def _write(folder: str, path: str, window: int, end: int, pad: int, wide: bool):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, KINDS, strict=True)], names=NAMES)
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = encoder.ids(text.as_py()) + tail
-                n = len(ids) // 4
+            ids, first = own.batch(b.column(1))
+            ids = ids.astype(kind)
+            for i, doc in enumerate(b.column(0).to_pylist()):
+                mine = np.append(ids[first[i] : first[i + 1]], kind(end))
+                n = len(mine)
                 for a in range(0, n, window):
-                    part = ids[4 * a : 4 * (a + window)]
-                    pieces.append((doc, a, part, n))
-                    state["tokens"] += len(part) // 4
+                    pieces.append((doc, a, mine[a : a + window], n))
+                    state["tokens"] += len(pieces[-1][2])
                     if len(pieces) >= BLOCK or state["tokens"] >= TOKENS:
                         yield flush()
         if pieces:
@@ -132,11 +137,11 @@ KINDS = [pa.string(), pa.int64(), pa.int64(), _LONGS, _LONGS, _LONGS, _LONGS]
 MANIFEST = "path string, base long, sequences long, doc_id array<long>, start array<long>, doc_tokens array<long>, segment array<long>"
 
 
-def write_matrices(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, end: int = END, pad: int = 0, wide: bool = False) -> DataFrame:
+def write_matrices(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, end: int = END, pad: int = 0, wide: bool | None = None) -> DataFrame:
     """Writes blocks for docs (doc_id, text) and returns their saved manifest, a row for each block with its pieces.
 
     Null or empty text is the end id alone. Rows without doc_id and repeated rows are packed each. An empty table writes nothing.
-    ``wide`` stores ids in 32 bits, for vocabularies of more than 65,536.
+    ``wide`` stores ids in 32 bits; None: where the vocabulary, end or pad has an id above 65,535, and False raises there.
     """
     spark = docs.sparkSession
     bounded_batches(spark)

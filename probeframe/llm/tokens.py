@@ -3,14 +3,24 @@
 from __future__ import annotations
 
 import os
+import sys
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .words import text_buffer
 
 #: Words whose ids a worker keeps at most, in two generations.
 CACHED_WORDS = 300_000
 VOCABULARY = "word_bpe_49k.json"
 END = 2
 
+#: Tab, line feed and return become spaces.
+_SPACES = np.arange(256, dtype=np.uint8)
+_SPACES[[0x09, 0x0A, 0x0D]] = 0x20
+
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
     """The file of a public tokenizer; a path in place of a name is taken as it is."""
@@ -30,7 +40,7 @@ def _byte_letters() -> dict[int, str]:
 class WordEncoder:
     """ids of texts for tokenizers that drop white space, so that the pieces between space, tab, line feed and return stand alone.
 
-    Words come again and again, so their ids are kept: recent ones in ``new``; when it is full it becomes ``old``. A new word of
+    Texts are split and their distinct words found by column. Words come again and again, so their ids are kept: recent ones in ``new``; when it is full it becomes ``old``. A new word of
     Latin letters, with or without marks of TAILS after them, is two pieces to the tokenizer's own pattern, so its letters go
     straight to the tokenizer's model (for tokenizers that fold case and split letters, digits and marks); all others go
     through the whole tokenizer.
@@ -44,7 +54,8 @@ class WordEncoder:
 
         self.model, self.cached, self.new, self.old = Tokenizer.from_file(path), cached, {}, {}
         self.letters, self.tails, self.cores = _byte_letters(), {}, {}
-        self.plain = all(self._whole(w) == self._latin(w) for w in ("the", "The", "Été,", "naïve!!", "STRASSE", "größer.", "x|"))
+        self.largest = max(self.model.get_vocab(with_added_tokens=True).values(), default=0)
+        self.plain = sys.byteorder == "little" and array("I").itemsize == 4 and all(self._whole(w) == self._latin(w) for w in ("the", "The", "Été,", "naïve!!", "STRASSE", "größer.", "x|"))
 
     def _whole(self, word: str) -> bytes:
         return np.array(self.model.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -53,53 +64,79 @@ class WordEncoder:
         """The ids of a word of Latin letters and marks, None for other words."""
         low = word.lower()
         core = low.rstrip(self.TAILS)
-        if not core.isalpha() or max(core) >= "\u0250":
-            return None
         out = self.cores.get(core)
         if out is None:
-            text = core if core.isascii() else "".join([self.letters[b] for b in core.encode()])
-            out = self.cores[core] = np.array([t.id for t in self.model.model.tokenize(text)], dtype="<u4").tobytes()
+            plain = core.isascii()
+            if not core.isalpha() or not plain and max(core) >= "\u0250":
+                return None
+            text = core if plain else "".join([self.letters[b] for b in core.encode()])
+            out = self.cores[core] = array("I", [t.id for t in self.model.model.tokenize(text)]).tobytes()
             if len(self.cores) > self.cached:
                 self.cores = {}
+        if len(core) == len(low):
+            return out
         tail = low[len(core) :]
-        if tail:
-            ids = self.tails.get(tail)
-            if ids is None:
-                ids = self._whole(tail)
-                if len(tail) <= 8:
-                    self.tails[tail] = ids
-            out += ids
-        return out
-
-    def ids(self, text: str | None) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit values."""
-        if not text:
-            return b""
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        new = self.new
-        try:
-            return b"".join([new[w] for w in words])
-        except KeyError:
-            pass
-        own = {}
+        ids = self.tails.get(tail)
+        if ids is None:
+            ids = self._whole(tail)
+            if len(tail) <= 8:
+                self.tails[tail] = ids
+        return out + ids
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words."""
+        new, old, plain = self.new, self.old, self.plain
+        out: list = [None] * len(words)
         missing = []
-        for w in set(words):
+        for i, w in enumerate(words):
             x = new.get(w)
             if x is None:
-                x = self.old.get(w)
-                if x is None and self.plain and len(w) <= 64:
+                x = old.get(w)
+                if x is None and plain and len(w) <= 64:
                     x = self._latin(w)
                 if x is None:
-                    missing.append(w)
+                    missing.append(i)
                     continue
                 new[w] = x
-            own[w] = x
+            out[i] = x
         for a in range(0, len(missing), 20_000):
             part = missing[a : a + 20_000]
-            for w, e in zip(part, self.model.encode_batch(part, add_special_tokens=False), strict=True):
-                own[w] = x = np.array(e.ids, dtype="<u4").tobytes()
-                if len(w) <= 64:
-                    new[w] = x
+            for i, e in zip(part, self.model.encode_batch([words[i] for i in part], add_special_tokens=False), strict=True):
+                out[i] = x = np.array(e.ids, dtype="<u4").tobytes()
+                if len(words[i]) <= 64:
+                    new[words[i]] = x
         if len(new) > self.cached:
             self.old, self.new = new, {}
-        return b"".join([own[w] for w in words])
+        return out
+
+    def batch(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, first): the ids of all texts of a column, one after the other, and where each begins (one more entry at the end).
+        Null is empty. Texts are split and their distinct words found over the whole column."""
+        data, at = text_buffer(column)
+        text = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(at)), pa.py_buffer(_SPACES[data])])
+        parts = pc.split_pattern(text, " ")
+        words = parts.flatten().dictionary_encode()
+        known = self._known(words.dictionary.to_pylist())
+        size = np.fromiter(map(len, known), np.int64, len(known)) >> 2
+        start = np.concatenate(([0], np.cumsum(size)))[: len(size)]
+        which = words.indices.to_numpy()
+        length = size[which]
+        ends = np.concatenate(([0], np.cumsum(length)))
+        flat = np.frombuffer(b"".join(known), dtype="<u4")
+        ids = flat[np.repeat(start[which] - ends[:-1], length) + np.arange(ends[-1])]
+        return ids, ends[np.asarray(parts.offsets)]
+
+    def ids(self, text: str | None) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit values."""
+        return self.batch(pa.array([text], pa.large_string()))[0].tobytes()
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """The worker's encoder for a vocabulary; it keeps its words from task to task."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
