@@ -1,75 +1,88 @@
 """Line dedup by a deletion-neighbourhood join, with DataFrame functions only.
 
 A line is the sequence of its words (runs of anything but \\x20 and \\x09-\\x0D); a line without words is never removed.
-The edit distance counts inserted, deleted or replaced words, and the bound is one edit. Lines of fewer than ``min_words``
-words are compared for equality only. A line is removed if and only if an earlier line - by (doc_id, line number) - of any
-document is within the bound; this is judged on the input, so the order of removals does not matter.
-
-How it stays linear: lines are first reduced to distinct word sequences with their earliest place. One edit leaves the first
-or the last half of a line as it was, so only sequences that share a half with another one emit variants (all others cannot
-have a neighbour). A variant is the hash of the line without one word. Equal variants meet in a pre-aggregated minimum of
-their places instead of in pairs: variants by position link replaced words, variants without position link a line to the line
-that lacks one word. The distance to the earliest partner found is then verified on the words.
+The edit distance counts inserted, deleted or replaced units: words where a line has ``least`` of them or more, else characters
+(of its words joined by one space). Lines compare as sequences of one kind of unit. The bound is one edit, and no more than one
+for each ``least`` units, so lines of fewer than ``least`` characters are compared for equality. A line is removed if and only if
+an earlier line - by (doc_id, text, line number) - of any document is within the bound; this is judged on the input, so the order
+of removals does not matter.
+
+How it stays linear: lines are first reduced to distinct sequences with their earliest place. One edit leaves the first or the
+last half of a line as it was, so only sequences that share a half with another one emit variants (all others cannot have a
+neighbour). A variant is the hash of the line without one unit. Equal variants meet in a pre-aggregated minimum of their places
+instead of in pairs: variants by position link replaced units, variants without position link a line to the line that lacks
+one unit. The distance to the earliest partner found is then verified on the units.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import only_listed, saved
 
-#: Besides the space and the line feed.
-SEPARATORS = "\t\x0b\x0c\r"
+#: Units that a line has at least for one edit.
+LEAST = 8
+
+
+def _normal(line: Column) -> Column:
+    """The words of a line, joined by one space."""
+    odd = reduce(or_, [F.contains(line, F.lit(x)) for x in ("  ", "\t", "\x0b", "\x0c", "\r")])
+    return F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(line))
 
 
-def _lines(each: DataFrame) -> DataFrame:
-    """(doc_id, line_no, words, wh, h, g) of (doc_id, line_no, line): lines that have words; h and g identify their sequence."""
-    each = each.select("doc_id", "line_no", F.filter(F.split(F.translate("line", SEPARATORS, " " * len(SEPARATORS)), " "), lambda w: w != "").alias("words")).where("size(words) > 0")
-    each = each.withColumn("wh", F.transform("words", lambda w: F.xxhash64(w)))
-    return each.select("doc_id", "line_no", "words", "wh", F.xxhash64("wh").alias("h"), F.xxhash64(F.lit(1), F.reverse("wh")).alias("g"))
+def _hashes(norm: str) -> tuple[Column, Column]:
+    """Two hashes that identify a sequence of words."""
+    return F.xxhash64(norm).alias("h"), F.xxhash64(F.lit(1), norm).alias("g")
 
 
-def _half(side: int, part: Column, length: Column) -> Column:
-    return F.xxhash64(F.lit(side), length, part)
+def _halves(lines: DataFrame, least: int) -> DataFrame:
+    """lines (norm, ...) with kind (0 words, 1 characters), m (units; 0: equality only) and halves: hashes of the first and last
+    halves, three for each line; two lines one edit apart have one in common."""
+    words = F.octet_length("norm") - F.octet_length(F.replace(F.col("norm"), F.lit(" "))) + 1
+    lines = lines.withColumn("w", words).withColumn("c", F.when(F.col("w") >= least, F.col("w")).otherwise(F.char_length("norm")))
+    lines = lines.withColumn("kind", F.expr(f"int(w < {least})")).withColumn("m", F.expr(f"if(c >= {least}, c, 0)")).withColumn("o", F.expr("int((m - 1) / 2)"))
+    lines = lines.withColumn("i", F.expr("int(m / 2)"))
 
+    def half(side: int, n: str) -> str:
+        part = f"if(kind = 0, substring_index(norm, ' ', {n}), left(norm, {n}))" if side == 0 else f"if(kind = 0, substring_index(norm, ' ', -({n})), right(norm, {n}))"
+        return f"xxhash64({side}, kind, {n}, {part})"
 
-def _halves(wh: Column, m: Column) -> Column:
-    """Hashes of the first and last halves; two lines one edit apart have one in common."""
-    first, second = F.floor(m / 2).cast("int"), F.floor((m - 1) / 2).cast("int")
-    head = [_half(0, F.slice(wh, F.lit(1), n), n) for n in (first, second)]
-    tail = [_half(1, F.slice(wh, m - n + 1, n), n) for n in (m - first, m - 1 - second)]
-    return F.array_distinct(F.array(*head, *tail))
+    even = f"if(m % 2 = 0, {half(0, 'o')}, {half(1, 'm - 1 - o')})"
+    return lines.withColumn("halves", F.expr(f"if(m > 0, array({half(0, 'i')}, {half(1, 'm - i')}, {even}), null)")).drop("w", "c", "o", "i")
 
 
-def removed_lines(docs: DataFrame, max_edits: int = 1, min_words: int = 8) -> DataFrame:
-    """(doc_id, line_no) of the lines that go. max_edits 0 leaves equal lines only; 1 is the production setting.
+def removed_lines(docs: DataFrame, max_edits: int = 1, least: int = LEAST) -> DataFrame:
+    """(doc_id, t, line_no) of the lines that go; t is xxhash64 of the row's text. max_edits 0 leaves equal lines only; 1 is the
+    production setting.
 
-    Null text: no lines. Rows without doc_id take no part. Other columns of docs are not looked at, and several rows of one
-    doc_id count as one place: give such rows ids of their own.
+    Null text: no lines. Rows without doc_id take no part. Other columns of docs are not looked at. Rows of one doc_id with
+    different texts are rows of their own, in the order of t; equal rows are one place, so they keep the same lines.
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
-    docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    lines = _lines(docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")))
-    m = F.size("wh")
-    known = lines.select("doc_id", "line_no", "h", "g", m.alias("m"), F.when(m >= min_words, _halves(F.col("wh"), m)).alias("halves"))
-    known = saved(known, "lines")
-    place = F.struct("doc_id", "line_no")
-    seqs = known.groupBy("h", "g", "m").agg(F.min(place).alias("place"), F.count("*").alias("n"), F.first("halves").alias("halves"))
+    docs = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("t"), "text")
+    lines = docs.select("doc_id", "t", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("doc_id", "t", "line_no", _normal(F.col("line")).alias("norm"))
+    lines = _halves(lines.where("norm <> ''"), least)
+    known = saved(lines.select("doc_id", "t", "line_no", *_hashes("norm"), "kind", "m", "halves"), "lines")
+    place = F.struct("doc_id", "t", "line_no")
+    seqs = known.groupBy("h", "g", "kind", "m").agg(F.min(place).alias("place"), F.count("*").alias("n"), F.first("halves").alias("halves"))
     seqs = saved(seqs, "lines-distinct")
     best = seqs.where("n > 1").select("h", "g", F.col("place").alias("best"))
     if max_edits:
         near = _near(docs, seqs)
         best = best.union(near).groupBy("h", "g").agg(F.min("best").alias("best"))
     best = saved(best, "lines-best")
-    gone = known.select("doc_id", "line_no", "h", "g").join(best, ["h", "g"]).where(F.struct("doc_id", "line_no") > F.col("best"))
-    return gone.select("doc_id", "line_no")
+    gone = known.select("doc_id", "t", "line_no", "h", "g").join(best, ["h", "g"]).where(place > F.col("best"))
+    return gone.select("doc_id", "t", "line_no")
 
 
 def _zobrist(words: Column, seed: int, shift: int = 0) -> Column:
-    """A hash of each word with its place."""
-    return F.transform(words, lambda w, i: F.xxhash64(F.lit(seed), w, i + shift))
+    """A hash of each unit with its kind and place."""
+    return F.transform(words, lambda w, i: F.xxhash64(F.lit(seed), F.col("kind"), w, i + shift))
 
 
 def _xor(values: Column) -> Column:
@@ -83,7 +96,7 @@ def _near(docs: DataFrame, seqs: DataFrame) -> DataFrame:
     words, missing words where one has a word less. The variants of a line are its hash (an exclusive or of the hashes of
     words with their places) without one word, so each costs one step.
     """
-    keys = seqs.where("halves is not null").select("h", "g", "m", F.explode("halves").alias("half"))
+    keys = seqs.where("m > 0").select("h", "g", "m", F.explode("halves").alias("half"))
     shared = keys.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
     keys = saved(keys.join(shared, "half"), "lines-halves")
     sizes = keys.groupBy("half", "m").agg(F.count("*").alias("c"))
@@ -91,12 +104,13 @@ def _near(docs: DataFrame, seqs: DataFrame) -> DataFrame:
     less = sizes.select("half", (F.col("m") + 1).alias("m")).join(sizes.select("half", "m"), ["half", "m"])
     kinds = alike.union(less.select("half", "m", F.lit(2))).union(less.select("half", F.col("m") - 1, F.lit(4)))
     listed = keys.join(kinds, ["half", "m"]).groupBy("h", "g").agg(*[F.max(F.when(F.col("kind") == k, True).otherwise(False)).alias(n) for k, n in ((1, "alike"), (2, "longer"), (4, "shorter"))])
-    listed = saved(listed.join(seqs.select("h", "g", "place"), ["h", "g"]), "lines-listed")
-    wanted = saved(listed.groupBy("place.doc_id").agg(F.collect_set("place.line_no").alias("at")), "lines-wanted")
-    found = only_listed(docs, wanted.select("doc_id"), "doc_id").join(wanted, "doc_id").withColumn("parts", F.split("text", "\n"))
-    found = found.select("doc_id", F.explode("at").alias("line_no"), "parts").select("doc_id", "line_no", F.try_element_at("parts", F.col("line_no") + 1).alias("line"))
-    found = _lines(found.where("line is not null")).groupBy("h", "g").agg(F.any_value("words").alias("words"))
-    texts = saved(listed.join(found, ["h", "g"]), "lines-texts")
+    listed = saved(listed.join(seqs.select("h", "g", "kind", "place"), ["h", "g"]), "lines-listed")
+    wanted = saved(listed.groupBy("place.doc_id", "place.t").agg(F.collect_list(F.struct("place.line_no", "h", "g", "kind", "place", "alike", "longer", "shorter")).alias("at")), "lines-wanted")
+    found = only_listed(docs, wanted.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id", "t"]).join(wanted, ["doc_id", "t"])
+    found = found.select(F.split("text", "\n").alias("parts"), F.explode("at").alias("x"))
+    found = found.select("x.*", _normal(F.element_at("parts", F.col("x.line_no") + 1)).alias("norm")).drop("line_no")
+    texts = found.withColumn("words", F.when(F.col("kind") == 0, F.split("norm", " ")).otherwise(F.split("norm", ""))).drop("norm")
+    texts = saved(texts, "lines-texts")
     who = F.struct("place", "h", "g")
 
     zs = texts.where("alike").select("h", "g", "place", _zobrist(F.col("words"), 1).alias("z"), _zobrist(F.col("words"), 2).alias("y"))
@@ -147,21 +161,21 @@ def one_edit(a: str, b: str) -> Column:
     return F.expr(f"exists(array({p}), p -> p > 0 and ({test}))")
 
 
-def dedup_lines(docs: DataFrame, max_edits: int = 1, min_words: int = 8) -> DataFrame:
+def dedup_lines(docs: DataFrame, max_edits: int = 1, least: int = LEAST) -> DataFrame:
     """docs with ``text`` cut down to the kept lines, and n_lines, n_removed (lines with words) beside their other columns.
 
     A document that loses every line with words has an empty text; a document that loses none keeps its text byte for byte.
+    Rows without doc_id keep theirs.
     """
-    if clash := {"n_lines", "n_removed", "gone"} & set(docs.columns):
+    if clash := {"n_lines", "n_removed", "__gone"} & set(docs.columns):
         docs = docs.drop(*clash)
-    gone = removed_lines(docs, max_edits, min_words).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
-    both = docs.join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id") == F.col("gone_id"), "left").drop("gone_id")
-    parts = F.split("text", "\n")
-    kept = F.filter(parts, lambda line, i: ~F.array_contains("gone", i))
-    empty = F.size(F.filter(kept, lambda line: line.rlike(r"[^\x20\x09-\x0D]"))) == 0
-    both = both.withColumn("n_lines", F.coalesce(F.size(F.filter(parts, lambda line: line.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0)))
-    both = both.withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)))
-    return both.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).when(empty, "").otherwise(F.array_join(kept, "\n"))).drop("gone")
+    gone = removed_lines(docs, max_edits, least).groupBy(F.col("doc_id").alias("__i"), F.col("t").alias("__t")).agg(F.collect_set("line_no").alias("__gone"))
+    both = docs.join(gone, (F.col("doc_id") == F.col("__i")) & (F.xxhash64("text") == F.col("__t")), "left").drop("__i", "__t")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("__gone", i)), "\n")
+    both = both.withColumn("n_lines", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D][^\n]*")), F.lit(0)))
+    both = both.withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)))
+    text = F.when(F.col("__gone").isNull(), F.col("text")).when(F.col("n_removed") == F.col("n_lines"), "").otherwise(kept)
+    return both.withColumn("text", text).drop("__gone")
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -36,20 +36,25 @@ def test_components(spark):
 # line dedup
 
 
+def one_edit_apart(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = (a, b) if len(a) > len(b) else (b, a)
+    return len(a) == len(b) + 1 and any(a[:i] + a[i + 1 :] == b for i in range(len(a)))
+
+
 def repeated_lines(docs, least=8):
-    exact, wild, lacking, out = set(), set(), set(), set()
+    """(doc_id, line) of the lines that an earlier line is within the bound of, by comparing all pairs of distinct lines."""
+    first, out, lines = {}, set(), []
     for i in sorted(docs):
         for k, line in enumerate((docs[i] or "").split("\n")):
             w = tuple(line.encode().split())
-            if not w:
-                continue
-            rest = [w[:j] + w[j + 1 :] for j in range(len(w))] if len(w) >= least else []
-            if w in exact or w in lacking and len(w) >= least or any((j, r) in wild or len(r) >= least and r in exact for j, r in enumerate(rest)):
-                out.add((i, k))
-            exact.add(w)
-            wild.update(enumerate(rest))
-            lacking.update(rest)
-    return out
+            if w:
+                first.setdefault(w, (i, k))
+                lines.append((i, k, w))
+    units = {w: (0, w) if len(w) >= least else (1, b" ".join(w).decode()) for w in first}
+    near = {w: min([p for v, p in first.items() if v != w and units[v][0] == units[w][0] and min(len(units[v][1]), len(units[w][1])) >= least and one_edit_apart(units[v][1], units[w][1])], default=(1 << 60, 0)) for w in first}
+    return {(i, k) for i, k, w in lines if min(first[w], near[w]) < (i, k)}
 
 
 def edited(rng, line):
@@ -64,7 +69,29 @@ def test_line_dedup_equals_brute_force(spark):
     rng = random.Random(2)
     base = [" ".join(rng.choice("abcdef") for _ in range(10)) for _ in range(20)]
     docs = {i: "\n".join(edited(rng, rng.choice(base)) for _ in range(8)) for i in range(60)} | {900: None, 901: "", 902: "\n \n"}
-    assert {tuple(r) for r in line_dedup.removed_lines(frame(spark, docs)).collect()} == repeated_lines(docs)
+    short = ["The anhely eran.", "a b c d e f g", "größe 漢字 und so", "abcdefgh", "abcdefg"]
+    for i in range(100, 140):
+        lines = [list(rng.choice(short)) for _ in range(4)]
+        for c in lines:
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                j = rng.randrange(len(c))
+                c[j : j + rng.choice([0, 1])] = [rng.choice("xyz, ")] * rng.choice([0, 1])
+        docs[i] = "\n".join("".join(c) for c in lines) + "\n  a \t b  c d\x0be f g h " * (i % 3)
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(frame(spark, docs)).collect()}
+    gone = repeated_lines(docs)
+    assert {tuple(r) for r in line_dedup.removed_lines(frame(spark, docs)).select("doc_id", "line_no").collect()} == gone
+    for i, t in docs.items():
+        lines = (t or "").split("\n")
+        words, removed = sum(bool(x.split()) for x in lines), sum(d == i for d, _ in gone)
+        kept = "" if words and removed == words else "\n".join(x for k, x in enumerate(lines) if (i, k) not in gone)
+        assert (got[i].n_lines, got[i].n_removed, got[i].text) == (words, removed, t if not removed else kept)
+
+
+def test_line_dedup_keeps_rows_of_one_id_apart(spark):
+    line = "one two three four five six seven eight nine"
+    rows = [(0, line), (1, line + "\nanother line of its own that nobody else has at all"), (1, "precious unrelated only line\nother things are here"), (2, "x y"), (2, "x y")]
+    got = sorted((r.doc_id, r.n_lines, r.n_removed, r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(0, 1, 0, line), (1, 2, 1, "another line of its own that nobody else has at all"), (1, 2, 0, rows[2][1]), (2, 1, 0, "x y"), (2, 1, 0, "x y")])
 
 
 def test_line_dedup_edges(spark, edge, empty):
