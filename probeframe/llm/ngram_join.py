@@ -43,7 +43,7 @@ BLOCK, BLOCK_ELEMENTS = 256, 1 << 20
 #: Minimum hashes under which near sets meet first.
 WAYS = 4
 #: Members that are asked against one copy of a block.
-RUN = 2000
+RUN = 500
 
 _SEEDS = [np.uint64(0x9E3779B97F4A7C15 * (2 * w + 1) % 2**64) for w in range(WAYS)]
 
@@ -494,3 +494,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Every document with the size of its set and the smallest doc_id that links lead to."""
     return linked_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+ORACLE = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+     s as (select doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) as i from w where len(ws) > 0),
+     g as (select distinct doc_id, array_to_string(ws[i:i + 4], ' ') as shingle from s),
+     n as (select doc_id, count(*) as n from g group by doc_id),
+     c as (select a.doc_id as x, b.doc_id as y, count(*) as i from g a join g b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by all),
+     l as (select x, y from c join n p on p.doc_id = x join n q on q.doc_id = y where 100 * i >= 75 * (p.n + q.n - i)),
+     r(a, b) as (select doc_id, doc_id from w union select r.a, l.y from r join l on l.x = r.b)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, (select min(b) from r where r.a = w.doc_id) as component_id from w left join n using (doc_id)
+"""

@@ -69,20 +69,20 @@ def _describe(window: int, phrase: int):
                 sizes.append(sizes[-1] + len(p))
             none = [np.empty(0, np.int64)]
             lists = [pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(none + x), pa.int64())) for x in (found, places)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sha), *lists], names=["doc_id", "n_words", "k1", "k2", "sha", "picks", "places"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sha), *lists], names=["doc_id", "t", "n_words", "k1", "k2", "sha", "picks", "places"])
 
     return run
 
 
 def _stretches(window: int, phrase: int):
-    """(doc_id, text, list of {owner, place}) -> (owner, doc_id, start, text of the stretch, places of the picks in it)."""
+    """(doc_id, text, t, list of {owner, place}) -> (owner, doc_id, t, start, text of the stretch, places of the picks in it)."""
 
     def run(batches):
         for b in batches:
             data, _ = text_buffer(b.column(1))
             s, e, _, first = word_table(b.column(1))
             out: list[tuple] = []
-            for i, (doc, wanted) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
+            for i, (doc, t, wanted) in enumerate(zip(*(b.column(j).to_pylist() for j in (0, 2, 3)), strict=True)):
                 n, base = int(first[i + 1] - first[i]), first[i]
                 wanted.sort(key=lambda w: (w["owner"], w["place"]))
                 j = 0
@@ -94,10 +94,10 @@ def _stretches(window: int, phrase: int):
                         hi = min(n, wanted[j]["place"] + window)
                         places.append(wanted[j]["place"])
                         j += 1
-                    out.append((owner, doc, lo, data[s[base + lo] : e[base + hi - 1]].tobytes(), [p - lo for p in places]))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["owner", "doc_id", "start", "stretch", "places"])
+                    out.append((owner, doc, t, lo, data[s[base + lo] : e[base + hi - 1]].tobytes(), [p - lo for p in places]))
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["owner", "doc_id", "t", "start", "stretch", "places"])
 
     return run
 
@@ -158,7 +158,7 @@ def _locate(window: int, phrase: int):
         for b in batches:
             out: list[tuple] = []
             _, _, h, first = word_table(b.column(5).cast(pa.large_binary()).cast(pa.large_string()))
-            for i, (who, part, kind, doc, start, places) in enumerate(zip(*(b.column(j).to_pylist() for j in (0, 1, 2, 3, 4, 6)), strict=True)):
+            for i, (who, part, kind, doc, start, places, t) in enumerate(zip(*(b.column(j).to_pylist() for j in (0, 1, 2, 3, 4, 6, 7)), strict=True)):
                 if (who, part) != key:
                     key, owner = (who, part), Owner(window, phrase)
                 own = h[first[i] : first[i + 1]]
@@ -169,10 +169,10 @@ def _locate(window: int, phrase: int):
                     for on in (True, False):
                         rows = np.flatnonzero(same == on)
                         if len(rows):
-                            out.append((doc, (starts[rows] + start).tolist(), None if on else f[rows].view(np.int64).tolist(), None if on else g[rows].view(np.int64).tolist()))
-            columns = list(zip(*out, strict=True)) or [()] * 4
+                            out.append((doc, t, (starts[rows] + start).tolist(), None if on else f[rows].view(np.int64).tolist(), None if on else g[rows].view(np.int64).tolist()))
+            columns = list(zip(*out, strict=True)) or [()] * 5
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), longs, longs, longs], strict=True)], names=["doc_id", "starts", "f", "g"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int64(), longs, longs, longs], strict=True)], names=["doc_id", "t", "starts", "f", "g"])
 
     return run
 
@@ -183,7 +183,7 @@ def _cut(window: int):
             data, _ = text_buffer(b.column(1))
             s, e, _, first = word_table(b.column(1))
             gone, sha = [], []
-            for i, starts in enumerate(b.column(2)):
+            for i, starts in enumerate(b.column(3)):
                 n = int(first[i + 1] - first[i])
                 at = starts.values.to_numpy()
                 cover = np.bincount(at, minlength=n + 1)[: n + 1] - np.bincount(np.minimum(at + window, n), minlength=n + 1)[: n + 1]
@@ -191,7 +191,7 @@ def _cut(window: int):
                 gone.append(int(n - kept.sum()))
                 x, y = s[first[i] : first[i + 1]][kept], e[first[i] : first[i + 1]][kept]
                 sha.append(hashlib.sha256(_joined(data, x, y)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(gone, pa.int64()), pa.array(sha)], names=["doc_id", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(gone, pa.int64()), pa.array(sha)], names=["doc_id", "t", "n_removed", "kept_sha256"])
 
     return run
 
@@ -200,48 +200,68 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     """(doc_id, n_words, n_removed, kept_sha256) for every row of docs (doc_id, text).
 
     Null text has no words. Rows without doc_id keep all their words, and nothing goes because of them. Rows of one doc_id are
-    one document to others; equal ones get equal results, and differing ones are judged as if the others had other ids.
+    one document to others but judged each by its own text (t is its hash), so equal ones get equal results.
     """
     spark = docs.sparkSession
     bounded_batches(spark, rows=500)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = docs.mapInArrow(_describe(window, phrase), "doc_id long, n_words long, k1 long, k2 long, sha string, picks array<long>, places array<long>")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
+    described = docs.mapInArrow(_describe(window, phrase), "doc_id long, t long, n_words long, k1 long, k2 long, sha string, picks array<long>, places array<long>")
     facts = saved(described, "passages-facts")
     known = facts.where(f"doc_id is not null and n_words >= {window}")
-    classes = known.groupBy("k1", "k2", "n_words").agg(F.min("doc_id").alias("rep"), F.first(F.struct("picks", "places")).alias("p"))
-    classes = saved(classes.select("k1", "k2", "n_words", "rep", F.arrays_zip(F.col("p.picks").alias("pick"), F.col("p.places").alias("place")).alias("p")), "passages-classes")
-    each = classes.select("rep", F.explode("p").alias("p")).select("rep", F.col("p.pick").alias("pick"), F.col("p.place").alias("place"))
+    least = F.min(F.struct("doc_id", "t", F.arrays_zip(F.col("picks").alias("pick"), F.col("places").alias("place")).alias("p"))).alias("x")
+    classes = known.groupBy("k1", "k2", "n_words").agg(least)
+    classes = saved(classes.select("k1", "k2", "n_words", F.col("x.doc_id").alias("rep"), F.col("x.t").alias("rep_t"), "x.p"), "passages-classes")
+    each = classes.select("rep", "rep_t", F.explode("p").alias("p")).select("rep", "rep_t", F.col("p.pick").alias("pick"), F.col("p.place").alias("place"))
+    # written, so that the join shuffles both sides and a pick that very many documents have can be split
     owners = each.groupBy("pick").agg(F.min("rep").alias("owner"), F.max("rep").alias("last")).where("owner < last").select("pick", "owner")
-    wanted = each.join(owners, "pick").groupBy("rep").agg(F.collect_list(F.struct("owner", "place")).alias("wanted"))
-    wanted = saved(wanted.withColumnRenamed("rep", "doc_id"), "passages-wanted")
+    owners = saved(owners, "passages-confirmed")
+    wanted = each.join(owners.hint("merge"), "pick").groupBy(F.col("rep").alias("doc_id"), F.col("rep_t").alias("t")).agg(F.collect_list(F.struct("owner", "place")).alias("wanted"))
+    wanted = saved(wanted, "passages-wanted")
     texts = only_listed(docs.where("text is not null"), wanted.select("doc_id"), "doc_id")
-    cut = texts.dropDuplicates(["doc_id"]).join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_stretches(window, phrase), "owner long, doc_id long, start long, stretch binary, places array<long>")
+    cut = texts.join(wanted, ["doc_id", "t"]).select("doc_id", "text", "t", "wanted").mapInArrow(_stretches(window, phrase), "owner long, doc_id long, t long, start long, stretch binary, places array<long>")
     cut = saved(cut, "passages-stretches")
     others = cut.where("owner <> doc_id")
     parts = others.groupBy("owner").agg(F.ceil(F.count("*") / RUN).cast("int").alias("runs"))
     own = cut.where("owner = doc_id").join(parts, "owner").withColumn("run", F.explode(F.sequence(F.lit(0), F.col("runs") - 1))).withColumn("kind", F.lit(0))
-    rest = others.join(parts, "owner").withColumn("run", F.pmod(F.xxhash64("doc_id", "start"), "runs").cast("int")).withColumn("kind", F.lit(1))
-    fields = ["owner", "run", "kind", "doc_id", "start", "stretch", "places"]
+    rest = others.join(parts, "owner").withColumn("run", F.pmod(F.xxhash64("doc_id", "t", "start"), "runs").cast("int")).withColumn("kind", F.lit(1))
+    fields = ["owner", "run", "kind", "doc_id", "start", "stretch", "places", "t"]
     rows = own.select(*fields).union(rest.select(*fields)).repartition("owner", "run").sortWithinPartitions("owner", "run", "kind")
-    located = saved(rows.mapInArrow(_locate(window, phrase), "doc_id long, starts array<long>, f array<long>, g array<long>"), "passages-located")
+    located = saved(rows.mapInArrow(_locate(window, phrase), "doc_id long, t long, starts array<long>, f array<long>, g array<long>"), "passages-located")
 
-    repeats = located.where("f is null").select("doc_id", "starts")
-    open_ = located.where("f is not null").select("doc_id", F.explode(F.arrays_zip("starts", "f", "g")).alias("w")).select("doc_id", F.col("w.starts").alias("at"), F.col("w.f").alias("f"), F.col("w.g").alias("g"))
+    repeats = located.where("f is null").select("doc_id", "t", "starts")
+    open_ = located.where("f is not null").select("doc_id", "t", F.explode(F.arrays_zip("starts", "f", "g")).alias("w")).select("doc_id", "t", F.col("w.starts").alias("at"), F.col("w.f").alias("f"), F.col("w.g").alias("g"))
     least = open_.groupBy("f", "g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("f", "g", "least")
-    more = open_.join(least, ["f", "g"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
-    starts = repeats.union(more).groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    more = open_.join(saved(least, "passages-least").hint("merge"), ["f", "g"]).where("doc_id > least").groupBy("doc_id", "t").agg(F.collect_set("at").alias("starts"))
+    starts = repeats.union(more).groupBy("doc_id", "t").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     starts = saved(starts, "passages-starts")
-    hit = only_listed(docs.where("text is not null"), starts.select("doc_id"), "doc_id").join(starts, "doc_id")
-    done = hit.select("doc_id", "text", "starts").mapInArrow(_cut(window), "doc_id long, n_removed long, kept_sha256 string").dropDuplicates(["doc_id"])
+    hit = only_listed(docs.where("text is not null"), starts.select("doc_id"), "doc_id").join(starts, ["doc_id", "t"])
+    done = hit.select("doc_id", "text", "t", "starts").mapInArrow(_cut(window), "doc_id long, t long, n_removed long, kept_sha256 string").dropDuplicates(["doc_id", "t"])
 
+    # a class's result is that of its representative
     empty = hashlib.sha256(b"").hexdigest()
-    reps = classes.select("k1", "k2", "n_words", "rep")
+    reps = classes.select("k1", "k2", "n_words", "rep", "rep_t")
     out = facts.select("doc_id", "n_words", "k1", "k2", "sha").join(reps, ["k1", "k2", "n_words"], "left")
-    out = out.join(done, "doc_id", "left")
+    out = out.join(done.select(F.col("doc_id").alias("rep"), F.col("t").alias("rep_t"), "n_removed", "kept_sha256"), ["rep", "rep_t"], "left")
     copy = F.col("rep").isNotNull() & (F.col("doc_id") > F.col("rep"))
-    return out.select("doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), F.when(copy, empty).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"))
+    known = F.col("doc_id") == F.col("rep")
+    removed = F.when(copy, F.col("n_words")).when(known, F.coalesce("n_removed", F.lit(0))).otherwise(0)
+    return out.select("doc_id", "n_words", removed.cast("long").alias("n_removed"), F.when(copy, empty).when(known, F.coalesce("kept_sha256", "sha")).otherwise(F.col("sha")).alias("kept_sha256"))
 
 
 def op7_repeated_phrases(spark, sf_dir: str) -> DataFrame:
     """Every document with the words that repeat smaller documents' passages taken out."""
     return repeated_words(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+ORACLE = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+     s as (select doc_id, ws, unnest(range(1, len(ws) - 48)) as i from w where len(ws) >= 50),
+     g as (select doc_id, i, sha256(array_to_string(ws[i:i + 49], ' ')) as win from s),
+     m as (select win, min(doc_id) as least from g group by win),
+     hit as (select g.doc_id, g.i from g join m using (win) where g.doc_id > m.least),
+     gone as (select distinct doc_id, unnest(range(i, i + 50)) as p from hit),
+     each as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as p from w),
+     kept as (select each.doc_id, count(*) as n, string_agg(word, ' ' order by each.p) as words from each anti join gone on each.doc_id = gone.doc_id and each.p = gone.p group by each.doc_id)
+select w.doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(kept.n, 0))::bigint as n_removed, sha256(coalesce(kept.words, '')) as kept_sha256
+from w left join kept using (doc_id)
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import warc
+from . import ngram_join, passages, warc
 from .hashing_search import op2_multi_index_hashing
 from .line_dedup import op4_line_dedup
 from .mixing import op10_mix_sources
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_mix_sources": op10_mix_sources,
 }
 
-ORACLES = {"op1_warc": warc.ORACLE}
+ORACLES = {"op1_warc": warc.ORACLE, "op7_repeated_phrases": passages.ORACLE, "op9_ngram_jaccard_join": ngram_join.ORACLE}

@@ -199,6 +199,19 @@ def test_passages_equal_brute_force(spark):
     assert got == without_repeats(docs)
 
 
+def test_passages_keep_rows_of_one_id_apart(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    other = " ".join(f"q{i}" for i in range(40)) + " " + passage
+    rows = [(0, passage), (1, other), (1, "short text"), (1, passage.replace(" ", "  ")), (0, "y " + passage), (0, passage)]
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in passages.repeated_words(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+    def sha(t):
+        return hashlib.sha256(t.encode()).hexdigest()
+
+    left = sha(" ".join(f"q{i}" for i in range(40)))
+    assert got == sorted([(0, 60, 0, sha(passage)), (0, 60, 0, sha(passage)), (0, 61, 0, sha("y " + passage)), (1, 100, 60, left), (1, 2, 0, sha("short text")), (1, 60, 60, sha(""))])
+
+
 def test_passages_edges(spark, edge, empty):
     got = passages.repeated_words(edge)
     assert {(r.doc_id, r.n_words, r.n_removed) for r in got.collect()} >= {(1, 0, 0), (5, 30000, 0), (6, 30000, 30000), (None, 5, 0), (3, 1, 0)}
