@@ -3,8 +3,8 @@
 Words are runs of anything but white space and ASCII punctuation, in lower case. Wherever a common word (an anchor) stands
 directly before a content word, that content word and the next two content words, whatever common words lie between, form a
 chain; a spot signature is the hash of anchor and chain. A document's set is its distinct signatures. A text with no complete
-chain has one signature, the hash of all its words (of the text itself, if there are none). The fingerprint is the SHA-256 of the sorted set, with the
-set's length; likeness is the Jaccard of two sets.
+chain has one signature, the hash of all its words (of the text itself, if there are none). The fingerprint is the sorted set, as
+hexadecimal numbers; likeness is the Jaccard of two fingerprints' sets.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ ANCHORS = (
     "al como con de del el ella en entre era es esta este fue ha la las lo los más me mi muy no nos o para pero por que se ser si sin sobre su sus también te un una y ya"
 ).split()
 CHAIN = 3
-#: Documents of one run of neighbours, about, while there are at most RUNS of them; with more the runs grow (a window spills).
-RUN, RUNS = 4000, 1000
+#: Documents of one run of neighbours, about. There are as many runs as that takes, up to RUNS; runs of more than 80 million documents
+#: hold more, and a window over a long run spills.
+RUN, RUNS = 4000, 20_000
 
 
 def with_signatures(rows: DataFrame, text: str, name: str) -> DataFrame:
@@ -46,7 +47,8 @@ def with_signatures(rows: DataFrame, text: str, name: str) -> DataFrame:
 
 
 def fingerprint(signs: Column) -> Column:
-    return F.concat(F.sha2(F.array_join(signs.cast("array<string>"), ",").cast("binary"), 256), F.lit("-"), F.size(signs).cast("string"))
+    """The sorted set as text, so that likeness follows from two fingerprints."""
+    return F.array_join(F.transform(signs, lambda s: F.lower(F.hex(s))), " ")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -81,6 +83,15 @@ def near_pairs(docs: DataFrame, share: float = 0.75) -> DataFrame:
     return out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "likeness")
 
 
+def _above(x: Column, cuts: list) -> Column:
+    """How many of the sorted cuts are x or more, by binary search."""
+    if not cuts:
+        return F.lit(0)
+    table, n = F.array(*[F.lit(c) for c in cuts]), len(cuts)
+    steps = F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)])
+    return F.lit(n) - F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= n) & (F.try_element_at(table, at + s) < x), at + s).otherwise(at))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, next_text) of docs (doc_id, text): next is the next row in descending doc_id, after the last the first.
 
@@ -93,8 +104,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     cuts: list = []
     if stats.ids and runs > 1:
         share = [i / runs for i in range(1, runs)]
-        cuts = sorted(set(docs.select(F.percentile_approx("doc_id", share, 10_000)).first()[0]))
-    run = F.aggregate(F.array(*[F.lit(c) for c in cuts]), F.lit(0), lambda a, c: a + F.when(F.col("doc_id") <= c, 1).otherwise(0)) if cuts else F.lit(0)
+        cuts = sorted(set(docs.select(F.percentile_approx("doc_id", share, max(10_000, 10 * runs))).first()[0]))
+    run = _above(F.col("doc_id"), cuts)
     rows = docs.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(run).alias("run"), F.xxhash64("text").alias("h"))
     firsts = {r.run: r.f for r in rows.groupBy("run").agg(F.max(F.struct("doc_id", F.bitwise_not("h").alias("g"))).alias("f")).collect()}
     ids = sorted(firsts)

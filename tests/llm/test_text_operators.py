@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -243,6 +244,47 @@ def test_spot_neighbours(spark, run, monkeypatch):
         assert (got[i].n_chars, got[i].edited_sha256) == (len(text), hashlib.sha256(edited_text.encode()).hexdigest())
 
 
+def signatures(text):
+    """The set of (anchor, three content words) of a text; with none all its words, and without words the text."""
+    w = [x for x in re.split(r"[\s!-/:-@\[-`{-~]+", text.lower(), flags=re.ASCII) if x]
+    content = [(x, w[i - 1] if i and w[i - 1] in spot_signatures.ANCHORS else None) for i, x in enumerate(w) if x not in spot_signatures.ANCHORS]
+    out = {(p, x, content[i + 1][0], content[i + 2][0]) for i, (x, p) in enumerate(content) if p and i + 2 < len(content)}
+    return out or {tuple(w) or text}
+
+
+def test_spot_likeness_equals_brute_force(spark):
+    rng = random.Random(16)
+    vocabulary = ["the", "is", "of", "la", "der", "fox", "tree", "river", "Größe", "nube", "Haus", "x1"]
+    docs = {i: " ".join(rng.choice(vocabulary) + rng.choice(["", "", ",", ". "]) for _ in range(rng.randrange(80))) for i in range(40)}
+    docs |= {100: docs[3], 101: docs[3] + " the fox tree river", 102: "", 103: None, 104: "?!"}
+    got = {r.doc_id: r for r in spot_signatures.fingerprints(frame(spark, docs)).collect()}
+    ids, own = sorted(docs, reverse=True), {i: signatures(t or "") for i, t in docs.items()}
+
+    def alike(a, b):
+        return len(a & b) / len(a | b)
+
+    for k, i in enumerate(ids):
+        text, j = docs[i] or "", ids[(k + 1) % len(ids)]
+        edited_set = signatures(text[: len(text) - len(text) // 3] + (docs[j] or "")[: len(text) // 3])
+        assert got[i].near_edited == pytest.approx(alike(own[i], edited_set)) and got[i].near_next == pytest.approx(alike(own[i], own[j]))
+        marks, changed, after = (set(x.split()) for x in (got[i].fingerprint, got[i].edited_fingerprint, got[j].fingerprint))
+        assert len(marks) == len(own[i]) and got[i].near_next == alike(marks, after) and got[i].near_edited == alike(marks, changed)
+    assert got[100].fingerprint == got[3].fingerprint
+
+
+def test_spot_pairs_in_groups_of_copies(spark):
+    rng = random.Random(17)
+    words_ = [f"c{i}" for i in range(60)]
+    base = [" ".join(("the " if rng.random() < 0.5 else "") + rng.choice(words_) for _ in range(60)) for _ in range(3)]
+    docs = {i: base[i % 3] + (" the " + " ".join(rng.choice(words_) for _ in range(rng.randrange(4, 14))) if i % 5 else "") for i in range(60)}
+    own, first = {i: signatures(t) for i, t in docs.items()}, {}
+    for i in sorted(docs):
+        first.setdefault(frozenset(own[i]), i)
+    ids = sorted(first.values())
+    want = {(a, b) for a in ids for b in ids if a < b and len(own[a] & own[b]) >= 0.75 * len(own[a] | own[b])}
+    assert {(r.a, r.b) for r in spot_signatures.near_pairs(frame(spark, docs)).collect()} == want and want
+
+
 def test_spot_pairs(spark):
     text = "the red fox jumps over the lazy dog and the small cat sleeps in the warm house while the old man reads a long book by the fire"
     text += " in the green garden a tall tree grows by the quiet river and the children play in the soft grass under the blue sky near the old bridge"
