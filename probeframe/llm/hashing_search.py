@@ -2,30 +2,37 @@
 
 Vectors are lifted by one component so that the largest inner product becomes the smallest angle, projected and rotated by
 iterative quantisation (fitted on a bounded sample), and reduced to binary codes of BITS bits. Codes are cut into substrings;
-each substring has an index of its own. By the pigeonhole principle a code within Hamming radius r of the query's lies within
-floor(r / number of substrings) of it in at least one substring: every posting list of such a substring value is read, the true
-radius is checked, and what is left is ranked by the inner product of the original vectors in double precision.
-
-The rows are dealt into shards of bounded size by a hash of the vector's content; each block of queries visits every shard, and only
-the best k of a shard are sent on. The radius is set on the sample so that it holds the wanted share of true neighbours; where it
-holds fewer than k rows of a shard it is widened, up to the whole shard.
+each substring has an index of its own, a table of posting lists addressed by the substring's value. By the pigeonhole principle a
+code within Hamming radius r of the query's lies within floor(r / number of substrings) of it in at least one substring: every
+list of a value that near is read, the true radius is checked, and what is left is ranked by the inner product of the original
+vectors in double precision.
+
+The rows are dealt once into shards of bounded size, each indexed by one task. Queries are written to the shared folder in blocks;
+every task reads them block by block and sends on only the best k of its shard for each query. So vectors are shuffled once,
+whatever the number of queries. The radius is set on the sample so that it holds the wanted share of true neighbours; where it
+holds fewer than k rows of a shard it is widened, up to the whole shard. The closer true neighbours are, the fewer lists are
+read; for vectors without structure most rows lie within the radius, and the search costs as much as a scan of the codes.
 """
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, saved
+from .common import bounded_batches, saved, scratch
 
 BITS = 64
-PARTS = 4
+PARTS = 8
 #: Vectors that the rotation and the radius are learned on at most, queries among them, and the neighbours the radius shall hold.
 SAMPLE, PROBES, HELD = 20_000, 400, 0.98
-#: Rows of a shard and queries of a block, about.
-SHARD, QUERIES = 16_384, 512
+#: Rows and bytes of a shard at most, about.
+SHARD, SHARD_BYTES = 8192, 64 << 20
 NEAREST = 20
 
 
@@ -69,28 +76,29 @@ class Codes:
 
 
 class Shard:
-    """Substring indexes over the codes of some rows."""
+    """Substring indexes over the codes of some rows: for each substring, the rows in order of its value and where each value begins."""
 
     def __init__(self, codes: np.ndarray, parts: int = PARTS, bits: int = BITS):
         self.codes, self.parts, self.width = codes, parts, bits // parts
         self.mask = np.uint64((1 << self.width) - 1)
+        values = np.arange(1 << self.width, dtype=np.uint64)
+        self.flips = values[np.argsort(np.bitwise_count(values), kind="stable")]
+        self.upto = np.cumsum([comb(self.width, k) for k in range(self.width + 1)])
         self.index = []
         for j in range(parts):
             piece = (codes >> np.uint64(j * self.width)) & self.mask
             order = np.argsort(piece, kind="stable")
-            values, first = np.unique(piece[order], return_index=True)
-            self.index.append((values, np.append(first, len(order)), order))
+            self.index.append((np.searchsorted(piece[order], np.arange((1 << self.width) + 1)), order))
 
     def within(self, code: np.uint64, radius: int) -> np.ndarray:
-        """Positions of all codes at most radius away, through the substrings."""
-        near = radius // self.parts
+        """Positions of all codes at most radius away, through the lists of all substring values at most radius / parts away."""
+        flips = self.flips[: self.upto[min(self.width, radius // self.parts)]]
         seen = np.zeros(len(self.codes), dtype=bool)
-        for j, (values, first, order) in enumerate(self.index):
-            hit = np.flatnonzero(np.bitwise_count(values ^ ((code >> np.uint64(j * self.width)) & self.mask)) <= near)
-            if len(hit):
-                length = first[hit + 1] - first[hit]
-                at = np.repeat(first[hit] - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(length.sum())
-                seen[order[at]] = True
+        for j, (first, order) in enumerate(self.index):
+            at = (((code >> np.uint64(j * self.width)) & self.mask) ^ flips).astype(np.int64)
+            lo, length = first[at], first[at + 1] - first[at]
+            ends = np.cumsum(length)
+            seen[order[np.repeat(lo - ends + length, length) + np.arange(ends[-1])]] = True
         rows = np.flatnonzero(seen)
         return rows[np.bitwise_count(self.codes[rows] ^ code) <= radius]
 
@@ -120,8 +128,8 @@ def learn(vectors: DataFrame, bits: int = BITS) -> tuple[Codes, int] | None:
     return codes, int(np.ceil(np.quantile(np.concatenate(near), HELD)))
 
 
-def _search(model, k: int):
-    """Rows of a (shard, block): kind 0 the shard's rows, kind 1 the queries; sorted so that the former come first."""
+def _search(model, k: int, folder: str):
+    """One shard's rows (vec_id, v) -> (query_id, vec_id, score) of the best k for each query in the files of folder."""
 
     def answer(rows, ids, shard, code, q, own):
         radius = model.value[1]
@@ -131,8 +139,6 @@ def _search(model, k: int):
             if len(found) >= k or radius >= BITS:
                 break
             radius = min(BITS, radius + 4)
-        if not len(found):
-            return found, np.empty(0)
         score = (rows[found] * q).sum(axis=1)
         if len(found) > k:
             edge = np.partition(score, len(score) - k)[len(score) - k]
@@ -143,63 +149,52 @@ def _search(model, k: int):
 
     def run(batches):
         codes = model.value[0]
-        group, ids, rows, shard = None, None, None, None
-        parts: list = []
-        for b in batches:
-            names = {n: i for i, n in enumerate(b.schema.names)}
-            s, blk, kind, vid = (b.column(names[n]).to_numpy() for n in ("shard", "block", "kind", "vec_id"))
-            x = matrix(b.column(names["v"]))
-            out: list[tuple[np.ndarray, ...]] = []
-            cut = np.flatnonzero(np.diff(s) | np.diff(blk) | np.diff(kind)) + 1 if len(s) else np.empty(0, int)
-            for a, e in zip(np.concatenate(([0], cut)), np.concatenate((cut, [len(s)])), strict=True):
-                if a == e:
-                    continue
-                key = (int(s[a]), int(blk[a]))
-                if key != group:
-                    group, parts, shard = key, [], None
-                if kind[a] == 0:
-                    parts.append((vid[a:e], x[a:e]))
-                elif parts or shard is not None:
-                    if shard is None:
-                        ids, rows = (np.concatenate(c) for c in zip(*parts, strict=True))
-                        shard, parts = Shard(codes.rows(rows)), []
-                    for own, q, code in zip(vid[a:e], x[a:e], codes.queries(x[a:e]), strict=True):
-                        found, score = answer(rows, ids, shard, code, q, own)
-                        out.append((np.full(len(found), own), ids[found], score))
-            q, v, z = (np.concatenate([o[i] for o in out]) if out else np.empty(0, t) for i, t in enumerate((np.int64, np.int64, np.float64)))
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(z, pa.float64())], names=["query_id", "vec_id", "score"])
+        held = [(b.column(0).to_numpy(), matrix(b.column(1))) for b in batches if b.num_rows]
+        if not held:
+            return
+        ids, rows = (np.concatenate(c) for c in zip(*held, strict=True))
+        shard = Shard(codes.rows(rows))
+        system, place = fs.FileSystem.from_uri(folder)
+        files = sorted(f.path for f in system.get_file_info(fs.FileSelector(place)) if f.path.endswith(".parquet"))
+        for path in files:
+            for block in pq.ParquetFile(system.open_input_file(path)).iter_batches(1024):
+                asked, x = block.column(0).to_numpy(), matrix(block.column(1))
+                found = [answer(rows, ids, shard, code, q, own) for own, q, code in zip(asked, x, codes.queries(x), strict=True)] if len(asked) else []
+                if found:
+                    who = np.repeat(asked, [len(f) for f, _ in found])
+                    at, score = np.concatenate([f for f, _ in found]), np.concatenate([z for _, z in found])
+                    yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(ids[at], pa.int64()), pa.array(score, pa.float64())], names=["query_id", "vec_id", "score"])
 
     return run
 
 
 def usable(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, v): rows with an id and a finite, non-zero vector, of the length that most have (the longer of two)."""
+    """(vec_id, v): rows with an id and a finite, non-zero vector. Where lengths differ, vectors are filled up with zeros to the longest."""
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(fine)
-    length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return rows.where(F.size("v") == (length.n if length else 0))
+    ends = rows.agg(F.min(F.size("v")).alias("a"), F.max(F.size("v")).alias("z")).first()
+    return rows if ends.a == ends.z else rows.select("vec_id", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(ends.z) - F.size("v"))).alias("v"))
 
 
 def nearest(vectors: DataFrame, is_query, k: int = NEAREST) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of vectors (vec_id, v) that is_query picks, the k rows of another vec_id with
-    the largest inner product that the radius holds; ties go to the smaller vec_id. Equal rows are ranked each."""
+    the largest inner product that the radius holds; ties go to the smaller vec_id. All vectors have one length (see usable).
+
+    Rows of one vec_id are candidates each, for queries of other ids; of several queries of one id the greatest vector is asked.
+    """
     spark = vectors.sparkSession
     bounded_batches(spark, rows=2000)
     vectors = saved(vectors.select("vec_id", "v"), "search-vectors")
-    n = vectors.count()
+    n, size = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
     model = learn(vectors)
-    schema = "query_id long, vec_id long, score double"
     if model is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sent = spark.sparkContext.broadcast(model)
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-n // 20 // QUERIES))
-    by = F.xxhash64("vec_id", "v")
-    rows = vectors.withColumn("shard", F.pmod(by, F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("kind", F.lit(0))
-    asked = vectors.where(is_query).dropDuplicates(["vec_id"]).withColumn("block", F.pmod(by, F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("kind", F.lit(1))
-    both = rows.select("shard", "block", "kind", "vec_id", "v").union(asked.select("shard", "block", "kind", "vec_id", "v"))
-    both = both.repartition(max(1, shards * blocks), "shard", "block").sortWithinPartitions("shard", "block", "kind")
-    found = both.mapInArrow(_search(sent, k), schema)
+    folder = scratch(spark, "search-queries")
+    vectors.where(is_query).groupBy("vec_id").agg(F.max("v").alias("v")).write.parquet(folder)
+    shards = max(1, -(-n // max(1, min(SHARD, SHARD_BYTES // (8 * size)))))
+    found = vectors.repartition(shards).mapInArrow(_search(sent, k, folder), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -240,12 +240,13 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     # a class's result is that of its representative
     empty = hashlib.sha256(b"").hexdigest()
     reps = classes.select("k1", "k2", "n_words", "rep", "rep_t")
-    out = facts.select("doc_id", "n_words", "k1", "k2", "sha").join(reps, ["k1", "k2", "n_words"], "left")
-    out = out.join(done.select(F.col("doc_id").alias("rep"), F.col("t").alias("rep_t"), "n_removed", "kept_sha256"), ["rep", "rep_t"], "left")
-    copy = F.col("rep").isNotNull() & (F.col("doc_id") > F.col("rep"))
-    known = F.col("doc_id") == F.col("rep")
-    removed = F.when(copy, F.col("n_words")).when(known, F.coalesce("n_removed", F.lit(0))).otherwise(0)
-    return out.select("doc_id", "n_words", removed.cast("long").alias("n_removed"), F.when(copy, empty).when(known, F.coalesce("kept_sha256", "sha")).otherwise(F.col("sha")).alias("kept_sha256"))
+    out = saved(facts.select("doc_id", "n_words", "k1", "k2", "sha").join(reps.hint("merge"), ["k1", "k2", "n_words"], "left"), "passages-members")
+    own = F.col("rep").isNotNull() & (F.col("doc_id") == F.col("rep"))
+    heads = out.where(own).join(done.select(F.col("doc_id").alias("rep"), F.col("t").alias("rep_t"), "n_removed", "kept_sha256"), ["rep", "rep_t"], "left")
+    heads = heads.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    copy = F.col("rep").isNotNull()
+    rest = out.where(~F.coalesce(own, F.lit(False)))
+    return heads.union(rest.select("doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(0), F.when(copy, empty).otherwise(F.col("sha"))))
 
 
 def op7_repeated_phrases(spark, sf_dir: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are the positives; every other document of the learning rows, labelled or not, is only unlabelled.
-With the class prior pi (the toxic share of the labelled learning rows), the risk of a linear classifier over hashed words is
+Confirmed toxic documents are the positives; the unlabelled documents are drawn from all learning rows, toxic ones included, so that they
+hold positives at the class prior. With the class prior pi (the toxic share of the labelled learning rows), the risk of a linear classifier over hashed words is
 pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)), minimised in numpy by mini-batches; where the second term falls below zero a step
-goes against it. The classifier is fitted on bounded samples (max_positive, max_unlabelled: the documents of smallest hash);
+goes against it. The classifier is fitted on two bounded samples (max_positive, max_unlabelled: the documents of smallest hash);
 scores are made for every whole text.
 
 Features: the set of a text's words - A-Z in lower case, ASCII punctuation and white space between them - hashed to
@@ -25,9 +25,9 @@ from .words import LOWER, SPACE, word_table
 BITS = 18
 THRESHOLD = 0.3
 MAX_POSITIVE = 6000
-MAX_UNLABELLED = 12000
-#: A cell is used if this share of the positives (and MIN_POSITIVES of them) hold it, LIFT times the unlabelled texts' share.
-MIN_SHARE, MIN_POSITIVES, LIFT = 0.006, 4, 3.0
+MAX_UNLABELLED = 24000
+#: A cell is used if this share of the positives (and MIN_POSITIVES of them) hold it, LIFT times the negatives' share as estimated.
+MIN_SHARE, MIN_POSITIVES, LIFT = 0.006, 4, 8.0
 
 _BREAK = SPACE.copy()
 _BREAK[[ord(c) for c in string.punctuation]] = True
@@ -57,16 +57,18 @@ def _sums(w: np.ndarray, cells: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def informative(positive: list[np.ndarray], unlabelled: list[np.ndarray], bits: int = BITS) -> np.ndarray:
-    """Which cells are frequent enough, and more so among positives."""
+def informative(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, bits: int = BITS) -> np.ndarray:
+    """Which cells are frequent enough, and more so among positives. The negatives' share is the unlabelled texts' less what the
+    prior puts down to positives."""
     p, u = (np.bincount(np.concatenate(x), minlength=1 << bits) for x in (positive, unlabelled))
-    return (p >= max(MIN_POSITIVES, MIN_SHARE * len(positive))) & (p * len(unlabelled) >= LIFT * u * len(positive))
+    negative = np.maximum(0.0, u / len(unlabelled) - prior * p / len(positive)) / (1 - prior)
+    return (p >= max(MIN_POSITIVES, MIN_SHARE * len(positive))) & (p / len(positive) >= LIFT * negative)
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, bits: int = BITS, epochs: int = 25, rate: float = 0.02, decay: float = 3e-4, batch: int = 500, seed: int = 7) -> tuple[np.ndarray, float]:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, bits: int = BITS, epochs: int = 70, rate: float = 0.04, decay: float = 5e-5, batch: int = 3000, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias of the classifier; logistic loss, Adam, non-negative risk with steps against a negative part."""
     rng = np.random.default_rng(seed)
-    used = informative(positive, unlabelled, bits)
+    used = informative(positive, unlabelled, prior, bits)
     positive, unlabelled = ([r[used[r]] for r in rows] for rows in (positive, unlabelled))
     w, b = np.zeros(1 << bits), float(np.log(prior / (1 - prior)))
     m, v, mb, vb, t = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0, 0
@@ -123,9 +125,10 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     rows = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text")
     # the samples are chosen by ids alone; only their texts are read on
     ids = rows.select("doc_id").distinct().join(learn, "doc_id", "left").select("doc_id", F.coalesce("toxic", F.lit(0)).alias("positive"))
-    rank = F.xxhash64(F.lit(11), "doc_id")
-    pick = [ids.where(F.col("positive") == k).orderBy(rank, "doc_id").limit(n) for k, n in ((1, max_positive), (0, max_unlabelled))]
-    chosen = saved(pick[0].union(pick[1]), "toxicity-sample")
+    rank = [F.xxhash64(F.lit(seed), "doc_id") for seed in (11, 12)]
+    toxic = ids.where("positive = 1").orderBy(rank[0], "doc_id").limit(max_positive)
+    drawn = ids.withColumn("positive", F.lit(0)).orderBy(rank[1], "doc_id").limit(max_unlabelled)
+    chosen = saved(toxic.union(drawn), "toxicity-sample")
     sample = rows.join(F.broadcast(chosen), "doc_id").select("positive", "text").mapInArrow(_cells(bits), "positive int, cells array<int>")
     got: dict[int, list[np.ndarray]] = {0: [], 1: []}
     for r in sample.toArrow().to_batches():

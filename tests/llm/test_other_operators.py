@@ -1,6 +1,7 @@
 """Archives, search, packing and the pipeline: round trips, recall, brute force, edge cases and empty tables."""
 
 import hashlib
+import os
 import random
 import zlib
 
@@ -50,12 +51,14 @@ def test_search_recall_ties_and_bad_vectors(spark):
     found = {}
     for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
         found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert len(found.pop(2100)) == 20  # a vector of another length counts as filled up with zeros
     assert set(found) == set(range(0, 1500, 20)) and {len(v) for v in found.values()} == {20}
     hits = 0
     for q, v in found.items():
         s = (x * x[q]).sum(axis=1)
         s[q] = -np.inf
         best = np.lexsort((np.arange(1500), -s))[:20]
+        v = [p for p in v if p[0] != 2100]
         hits += len(set(best.tolist()) & {i for i, _ in v})
         assert all(abs(z - s[i]) < 1e-9 for i, z in v) and v == sorted(v, key=lambda p: (-p[1], p[0]))
     assert hits / (20 * len(found)) >= 0.9
@@ -64,6 +67,51 @@ def test_search_recall_ties_and_bad_vectors(spark):
     assert sorted(r.vec_id for r in few) == [1, 2, 3, 4]
 
 
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_search_query_on_a_table(spark, monkeypatch):
+    monkeypatch.setattr(hashing_search, "SHARD", 300)
+    table = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").toArrow()
+    ids, x = table.column(0).to_numpy(), [np.array(v, dtype=float) if v is not None else np.empty(0) for v in table.column(1).to_pylist()]
+    fine = [i for i, v in enumerate(x) if len(v) and np.isfinite(v).all() and v.any()]
+    ids, x = ids[fine], np.array([x[i] for i in fine])
+    out = hashing_search.op2_multi_index_hashing(spark, SF)
+    assert out.columns[:4] == ["query_id", "rank", "vec_id", "score"]
+    found = {}
+    for r in out.collect():
+        found.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    assert set(found) == {i for i in ids.tolist() if i % 20 == 0} and all(sorted(v) == list(range(1, 21)) for v in found.values())
+    hits = 0
+    for q, v in found.items():
+        s = x @ x[ids == q][0]
+        s[ids == q] = -np.inf
+        hits += len(set(ids[np.lexsort((ids, -s))[:20]].tolist()) & set(v.values()))
+    assert hits / (20 * len(found)) >= 0.95
+
+
+def test_search_fills_up_short_vectors_and_repeats(spark):
+    rows = [(0, [1.0, 0.0, 2.0]), (1, [1.0]), (2, [0.5, 0.5, 0.5]), (3, []), (4, [0.0, 0.0, 0.0]), (5, [None, 1.0, 1.0]), (0, [1.0, 0.0, 1.0]), (2, [0.5, 0.5, 0.5]), (None, [1.0, 1.0, 1.0])]
+    usable = hashing_search.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in hashing_search.nearest(usable, F.col("vec_id") % 20 == 0).orderBy("rank").collect()]
+    assert got == [(0, 1, 2, 1.5), (0, 2, 2, 1.5), (0, 3, 1, 1.0)]
+
+
+def test_probing_reads_few_lists_where_neighbours_are_close():
+    rng = np.random.default_rng(4)
+    centres = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    flips = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (40_000, 4), dtype=np.uint64), axis=1)
+    codes = centres[rng.integers(0, 400, 40_000)] ^ flips
+    shard = hashing_search.Shard(codes)
+    near = shard.flips[: shard.upto[7 // shard.parts]].astype(int)
+    read = 0
+    for j, (first, _) in enumerate(shard.index):
+        at = (int(codes[0]) >> 8 * j & 255) ^ near
+        read += int((first[at + 1] - first[at]).sum())
+    assert len(shard.within(codes[0], 7)) > 50 and read < 0.1 * len(codes)
+
+
 def test_pigeonhole_finds_every_code_within_the_radius():
     codes = np.random.default_rng(2).integers(0, 2**63, 3000, dtype=np.uint64) & np.uint64(0xFFFF00FF)
     shard = hashing_search.Shard(codes)

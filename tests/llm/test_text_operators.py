@@ -316,6 +316,25 @@ def test_toxicity_learns_and_holds_out(spark):
     assert np.mean([(scores[i] >= 0.3) == (i % 6 == 0) for i in held]) > 0.95
 
 
+def test_toxicity_query(spark, tmp_path):
+    rng = random.Random(18)
+    docs = [(i, " ".join(f"n{rng.randrange(300)}" for _ in range(30)) + (" vile rotten" if i % 8 == 0 else "")) for i in range(800)] + [(900, None), (901, "")]
+    labels = [(i, int(i % 8 == 0)) for i in range(0, 800, 2)] + [(1, None), (1, 0), (16, 0)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = toxicity.op5_toxicity(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "held_out", "score", "predicted"]
+    rows = out.collect()
+    assert sorted(r.doc_id for r in rows) == [i for i, _ in docs]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for r in rows)
+    assert np.mean([r.predicted == int(r.doc_id % 8 == 0 and r.doc_id < 800) for r in rows]) > 0.97
+
+
+def test_toxicity_prior_is_taken_off_the_unlabelled(spark):
+    positive, unlabelled = [np.array([1, 2])] * 20, [np.array([2, 3])] * 90 + [np.array([1, 2])] * 10
+    assert np.flatnonzero(toxicity.informative(positive, unlabelled, 0.1, 4)).tolist() == [1]
+
+
 def test_toxicity_edges(spark, edge, empty):
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
     assert toxicity.train(edge, none) is None
