@@ -193,7 +193,7 @@ def coverage_check(spark, sf_dir):
     return step_ops.coverage(_ranges(spark, sf_dir), ["slot", "grp"])
 
 
-@query("match_token_ranges", f"with {STEPS}, d as (select distinct slot, range_start, range_end from rg where range_end > range_start and grp = 0), l as (select *, lag(range_end) over (partition by slot order by range_start, range_end) as p from d) select slot, count(*) as n, min(range_start) = 0 and sum(case when p is not null and p <> range_start then 1 else 0 end) = 0 as complete from l group by 1")
+@query("match_token_ranges", f"with {STEPS}, d as (select distinct slot, grp, range_start, range_end from rg where range_end > range_start), l as (select *, lag(range_end) over (partition by slot, grp order by range_start, range_end) as p from d) select slot, grp, count(*) as n, min(range_start) = 0 and sum(case when p is not null and p <> range_start then 1 else 0 end) = 0 as complete from l group by all")
 def match_token_ranges(spark, sf_dir):
     d = _ranges(spark, sf_dir).where("range_end > range_start")
     got = d.groupBy("slot", "grp").agg(F.array_sort(F.collect_set(F.struct("range_start", "range_end"))).alias("r"))
@@ -263,7 +263,7 @@ def label_clean(spark, sf_dir):
     return n.select("n_nationkey", F.replace(F.replace("n_name", F.lit("\n"), F.lit("\\n")), F.lit("A"), F.lit("_")).alias("label"), F.substring(F.repeat("n_name", 11), 1, 60).alias("short"))
 
 
-_STEP_SQL = f"""with s as (select event_id as step, 1 + event_id % 4 as batch, 1 + event_id % 9 as q, 16 + event_id % 100 as kv, event_id % 2 as keep, event_id % 3 = 0 as packed from events where event_id % 10 = 0),
+_STEP_SQL = f"""with s as (select event_id as step, 1 + event_id % 4 as batch, 1 + event_id % 9 as q, 16 + event_id % 100 as kv, event_id % 2 as keep, event_id % 3 = 0 as packed from events),
  h as (select * from {HOOKS_SQL}),
  x as (select step, id, shape_class, case when packed then 1 else batch end as b, q, kv, case when keep > 0 then keep else q end as r from s, h),
  e as (select step, id, case shape_class when 0 then b * q * 1024 when 1 then b * q * 8 * 128 when 2 then b * q * 4 * 128 when 3 then b * q * 8 * 128 when 4 then b * 8 * q * kv when 5 then b * q * 1408 when 6 then b * q when 7 then b * r * 151936 when 8 then b * q * 60 else b * q * 4 end as n from x)"""

@@ -37,18 +37,20 @@ def left_pad_stack(spark, sf_dir):
     return p.select("request_id", "layer_no", "slot", F.coalesce(F.get("values", F.lit(0)), F.lit(0.0)).alias("first"))
 
 
-_G = TOK + ", t0 as (select *, row_number() over (partition by request_id order by start_token_idx, end_token_idx, pos) - 1 as seq, count(*) over (partition by request_id) as n, (vec_id * 7 + 3) % 64 as token from tok where layer_no = 0), w0 as (select max(n) as width from t0), g as (select request_id, n, width, unnest(range(width)) as slot from (select distinct request_id, n from t0), w0)"
+#: Global fields have no layers: every layer's requests count as requests of their own.
+_OWN = "concat_ws(':', layer_no, element_at(split(request_id, ':'), 2))"
+_G = TOK + ", t0 as (select *, row_number() over (partition by request_id order by start_token_idx, end_token_idx, pos) - 1 as seq, count(*) over (partition by request_id) as n, (vec_id * 7 + 3) % 64 as token from (select * replace (layer_no || ':' || split_part(request_id, ':', 2) as request_id) from tok)), w0 as (select max(n) as width from t0), g as (select request_id, n, width, unnest(range(width)) as slot from (select distinct request_id, n from t0), w0)"
 
 
 @query("reassemble_global", f"with {_G} select g.request_id, slot, coalesce(v[64], 0) as last from g left join t0 on t0.request_id = g.request_id and seq = slot - (width - g.n)")
 def reassemble_global(spark, sf_dir):
-    p = reassemble.left_padded(tok_emb(spark, sf_dir).where("layer_no = 0"), ["request_id"], [])
+    p = reassemble.left_padded(tok_emb(spark, sf_dir).withColumn("request_id", F.expr(_OWN)), ["request_id"], [])
     return p.select("request_id", "slot", F.coalesce(F.get("values", F.lit(63)), F.lit(0.0)).alias("last"))
 
 
 @query("reassemble_token_ids", f"with {_G} select g.request_id, slot, coalesce(token, 0) as token from g left join t0 on t0.request_id = g.request_id and seq = slot - (width - g.n)")
 def reassemble_token_ids(spark, sf_dir):
-    t = token_ids(spark, sf_dir).withColumn("values", F.array("token"))
+    t = tok_emb(spark, sf_dir).withColumn("request_id", F.expr(_OWN)).withColumn("token", (F.col("vec_id") * 7 + 3) % 64).withColumn("values", F.array("token"))
     return reassemble.left_padded(t, ["request_id"], []).select("request_id", "slot", F.coalesce(F.get("values", F.lit(0)), F.lit(0)).alias("token"))
 
 
@@ -74,7 +76,7 @@ def merge_attention(spark, sf_dir):
     return m.select("request_id", "head", "query", "key", _finite(F.col("value")).alias("value"))
 
 
-@query("attention_batch_stack", f"with {_MERGED}, s as (select request_id, max(query) + 1 as q, max(key) + 1 as k from mg group by 1), z as (select max(q) as qw, max(k) as kw from s) select m.request_id, m.head, m.query + z.qw - s.q as q_slot, m.key + z.kw - s.k as k_slot, case when x = '-inf'::double then -1e9 else x end as value from mg m join s using (request_id), z where m.head < 2")
+@query("attention_batch_stack", f"with {_MERGED}, s as (select request_id, max(query) + 1 as q, max(key) + 1 as k from mg group by 1), z as (select max(q) as qw, max(k) as kw from s) select m.request_id, m.head, m.query + z.qw - s.q as q_slot, m.key + z.kw - s.k as k_slot, case when x = '-inf'::double then -1e9 else x end as value from mg m join s using (request_id), z")
 def attention_batch_stack(spark, sf_dir):
     m = reassemble.merged_attention(attention(spark, sf_dir), ["request_id", "head"], float("-inf"))
     size = m.groupBy("request_id").agg((F.max("query") + 1).alias("q"), (F.max("key") + 1).alias("k"))
@@ -83,12 +85,12 @@ def attention_batch_stack(spark, sf_dir):
     return b.select("request_id", "head", (F.col("query") + F.col("qw") - F.col("q")).cast("long").alias("q_slot"), (F.col("key") + F.col("kw") - F.col("k")).cast("long").alias("k_slot"), _finite(F.col("value")).alias("value"))
 
 
-@query("attention_grid", f"with {ATTENTION}, n as (select max(keys) as t from att) select r.head, r.query, cast(k as int) as key, case when coalesce(x, 0) = '-inf'::double then -1e9 else coalesce(x, 0) end as value from (select distinct head, query from att where request_id = '0:1') r, n, unnest(range(t)) u(k) left join att on att.request_id = '0:1' and att.head = r.head and att.query = r.query and att.key = k")
+@query("attention_grid", f"with {ATTENTION}, n as (select max(keys) as t from att) select r.request_id, r.head, r.query, cast(k as int) as key, case when coalesce(x, 0) = '-inf'::double then -1e9 else coalesce(x, 0) end as value from (select distinct request_id, head, query from att) r, n, unnest(range(t)) u(k) left join att on att.request_id = r.request_id and att.head = r.head and att.query = r.query and att.key = k")
 def attention_grid(spark, sf_dir):
     a = attention(spark, sf_dir)
     t = a.agg(F.max("keys").alias("t"))
-    g = a.where("request_id = '0:1'").crossJoin(F.broadcast(t)).withColumn("key", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
-    return g.select("head", "query", "key", _finite(F.coalesce(F.get("row", F.col("key")), F.lit(0.0))).alias("value"))
+    g = a.crossJoin(F.broadcast(t)).withColumn("key", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
+    return g.select("request_id", "head", "query", "key", _finite(F.coalesce(F.get("row", F.col("key")), F.lit(0.0))).alias("value"))
 
 
 @query("attention_submatrix", f"with {ATTENTION} select query, cast(key as int) as key, case when x = '-inf'::double then -1e9 else x end as value from att where request_id = '0:2' and head = 1 and query < 3 and key < 3")
@@ -103,7 +105,11 @@ def require_count(spark, sf_dir):
     return t.withColumn("complete", F.col("layers") == F.col("expected"))
 
 
-@query("token_mask", f"with {STEPS}, e as (select slot, max(range_end) as en from rg where grp = 0 group by 1), w as (select max(en) as width from e), g as (select slot, en, width, unnest(range(width)) as s from e, w) select slot as request_id, cast(s as int) as slot, exists (select 1 from rg where rg.grp = 0 and rg.slot = g.slot and range_start <= s - (width - en) and s - (width - en) < range_end) as present from g")
+_MASK = """e as (select slot as request_id, grp, max(range_end) as en from rg group by all), w as (select max(en) as width from e),
+  g as (select request_id, grp, en, width, unnest(range(width)) as s from e, w), c as (select distinct slot as request_id, grp, unnest(range(range_start, range_end)) as s from rg where range_end > range_start)"""
+
+
+@query("token_mask", f"with {STEPS}, {_MASK} select g.request_id, g.grp, cast(g.s as int) as slot, c.s is not null as present from g left join c on c.request_id = g.request_id and c.grp = g.grp and c.s = g.s - (g.width - g.en)")
 def token_mask(spark, sf_dir):
     from .selection_queries import _ranges
 
@@ -280,12 +286,12 @@ def dict_lookup_default(spark, sf_dir):
     return pairing.lookup(k, names, "id", "n_name").select("line", "name", "n", "label")
 
 
-@query("overlap_join", f"with {TOK}, q as (select event_id, '0:' || (event_id % 12) as request_id, event_id % 6 as lo, event_id % 6 + 3 as hi from events where event_id < 2000), s as (select request_id, start_token_idx, end_token_idx, count(*) as n from tok where layer_no = 1 group by 1, 2, 3) select event_id, start_token_idx, n from q join s using (request_id) where start_token_idx < hi and end_token_idx > lo")
+@query("overlap_join", f"with {TOK}, q as (select event_id, '0:' || (event_id % 12) as request_id, event_id % 6 as lo, event_id % 6 + 3 as hi from events), s as (select request_id, layer_no, start_token_idx, end_token_idx, count(*) as n from tok group by all) select event_id, layer_no, start_token_idx, n from q join s using (request_id) where start_token_idx < hi and end_token_idx > lo")
 def overlap_join(spark, sf_dir):
     q = read(spark, sf_dir, "events", "event_id")
     q = q.select("event_id", F.concat(F.lit("0:"), F.col("event_id") % 12).alias("request_id"), (F.col("event_id") % 6).alias("lo"), (F.col("event_id") % 6 + 3).alias("hi"))
-    s = tok_emb(spark, sf_dir).where("layer_no = 1").groupBy("request_id", "start_token_idx", "end_token_idx").agg(F.count("*").alias("n"))
-    return pairing.overlapping(q, s, ["request_id"], ("lo", "hi"), ("start_token_idx", "end_token_idx")).select("event_id", "start_token_idx", "n")
+    s = tok_emb(spark, sf_dir).groupBy("request_id", "layer_no", "start_token_idx", "end_token_idx").agg(F.count("*").alias("n"))
+    return pairing.overlapping(q, s, ["request_id"], ("lo", "hi"), ("start_token_idx", "end_token_idx")).select("event_id", "layer_no", "start_token_idx", "n")
 
 
 @query("ref_join_by_local_idx", f"with {TOK}, r as (select distinct cast(split_part(request_id, ':', 2) as int) as idx, request_id from tok) select request_id, idx, n_name, n_name is null as out_of_range from r left join nation on n_nationkey = idx * 3")
@@ -302,7 +308,7 @@ def fifo_pair(spark, sf_dir):
     return pairing.paired(meta, pay, "seq")
 
 
-@query("expand_requests", "with s as (select event_id as step, event_id % 3 + 1 as n from events where event_id % 5 = 0) select step, cast(i as int) as ord, 'g' || (step % 4) || ':' || i as req_id, step % 7 as lo, step % 7 + 1 + i as hi from s, unnest(range(n)) u(i)")
+@query("expand_requests", "with s as (select event_id as step, event_id % 3 + 1 as n from events) select step, cast(i as int) as ord, 'g' || (step % 4) || ':' || i as req_id, step % 7 as lo, step % 7 + 1 + i as hi from s, unnest(range(n)) u(i)")
 def expand_requests(spark, sf_dir):
     e = read(spark, sf_dir, "events", F.col("event_id").cast("long").alias("step"))
     s = F.col("step")
@@ -310,10 +316,10 @@ def expand_requests(spark, sf_dir):
     return pairing.expanded(e.withColumn("requests", requests), ["step"])
 
 
-@query("slice_batched", f"with {TOK}, w as (select *, max(pos) over (partition by request_id) as m from tok where layer_no = 2) select request_id, pos, v[1] as first from w where pos > m - 2")
+@query("slice_batched", f"with {TOK}, w as (select *, max(pos) over (partition by request_id, layer_no) as m from tok) select request_id, layer_no, pos, v[1] as first from w where pos > m - 2")
 def slice_batched(spark, sf_dir):
-    t = tok_emb(spark, sf_dir).where("layer_no = 2").withColumn("n", F.count("*").over(Window.partitionBy("request_id")))
-    return pairing.last_rows(t, "pos", "n", F.lit(2)).select("request_id", "pos", F.get("values", F.lit(0)).alias("first"))
+    t = tok_emb(spark, sf_dir).withColumn("n", F.count("*").over(Window.partitionBy("request_id", "layer_no")))
+    return pairing.last_rows(t, "pos", "n", F.lit(2)).select("request_id", "layer_no", "pos", F.get("values", F.lit(0)).alias("first"))
 
 
 @query("slice_packed", "with s as (select event_id, user_id, event_id % 4 as n, coalesce(cast(sum(event_id % 4) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) as bigint), 0) as dim0 from events) select event_id, user_id, dim0, n from s where n > 0 and dim0 + n <= 20")
