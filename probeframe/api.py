@@ -5,19 +5,28 @@ from __future__ import annotations
 import time
 from abc import ABC, abstractmethod
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .adapter import CaptureAdapter
 from .functions.catalog import BY_SHORT, is_preset_registered, natural_key, register_preset, resolve_hook_selection
 from .operators import reassemble
 from .schema import FIELDS, HOOKS, stored_name
-from .sources.store import CaptureStore, custom_select, prefix_get
+from .sources.codec import token_rows
+from .sources.store import CaptureStore, custom_select, names_matching, prefix_get
+from .streaming.delivery import DeliverySink, OnFull, QueueConfig
+from .streaming.engine import BatchQueue, Engine, OnFailure, Stage
+
+#: Raised where a public name goes or changes its meaning.
+API_VERSION = 1
 
 __all__ = [
-    "CaptureStore", "IncompleteInternalError", "LazyInternal", "MissingInternalError", "Requirement", "StepSource", "apply_hook", "custom_select", "get_internal", "is_preset_registered",
-    "make_lazy_internal", "prefix_get", "register_field", "register_preset", "resolve_eos", "resolve_hook_selection",
+    "API_VERSION", "BatchQueue", "CaptureAdapter", "CaptureStore", "DeliverySink", "Engine", "HookSet", "IncompleteInternalError", "LazyInternal", "MissingInternalError", "OnFailure", "OnFull",
+    "QueueConfig", "Requirement", "Stage", "StepSource", "apply_hook", "custom_select", "get_internal", "is_preset_registered", "make_lazy_internal", "names_matching", "prefix_get", "register_field",
+    "register_preset", "resolve_eos", "resolve_hook_selection", "store_reader", "token_rows",
 ]
 
 
@@ -54,11 +63,84 @@ def apply_hook(tokens: DataFrame, act_name: str, fn: Callable) -> DataFrame:
     return tokens.withColumn("values", F.when(F.col("act_name") == act_name, fn(F.col("values"))).otherwise(F.col("values")))
 
 
+@dataclass
+class _Hook:
+    names: frozenset[str]
+    fn: Callable
+    direction: str
+    permanent: bool
+    level: int | None
+
+
+class HookSet:
+    """Callbacks on token rows: fn(values, act_name) -> values, as columns, for the acts that a name, a pattern or a predicate picks.
+
+    Hooks run in the order they were added, prepended ones first. Those that belong to a ``hooks`` block have its level and go with
+    it; permanent ones stay until they are reset by name. Backward hooks see gradient rows only, through apply(rows, "bwd").
+    """
+
+    def __init__(self):
+        self._hooks: list[_Hook] = []
+        self._depth = 0
+
+    def add_hook(self, name: str | Callable[[str], bool], hook: Callable, dir: str = "fwd", is_permanent: bool = False, level: int | None = None, prepend: bool = False) -> int:
+        """How many acts of the catalog the hook is on; none raises ValueError."""
+        if dir not in ("fwd", "bwd"):
+            raise ValueError(f"no such direction: {dir!r}")
+        names = frozenset(names_matching(name)) or (frozenset([name]) & frozenset(a for a, _ in _fields.values()) if isinstance(name, str) else frozenset())
+        if not names:
+            raise ValueError(f"no act is picked by {name!r}")
+        new = _Hook(names, hook, dir, is_permanent, level)
+        self._hooks.insert(0, new) if prepend else self._hooks.append(new)
+        return len(names)
+
+    def reset(self, direction: str = "both", including_permanent: bool = False, level: int | None = None) -> None:
+        def goes(h: _Hook) -> bool:
+            return direction in ("both", h.direction) and (including_permanent or not h.permanent) and (level is None or h.level == level)
+
+        self._hooks = [h for h in self._hooks if not goes(h)]
+
+    def apply(self, tokens: DataFrame, direction: str = "fwd") -> DataFrame:
+        """Rows with every hook of the direction applied, in order; one projection, no shuffle."""
+        for h in self._hooks:
+            if h.direction == direction:
+                on = F.col("act_name").isin(*sorted(h.names))
+                tokens = tokens.withColumn("values", F.when(on, h.fn(F.col("values"), F.col("act_name"))).otherwise(F.col("values")))
+        return tokens
+
+    @contextmanager
+    def hooks(self, fwd_hooks: list[tuple] = (), bwd_hooks: list[tuple] = (), reset_hooks_end: bool = True):
+        """Adds (name, fn) pairs for the time of a block."""
+        self._depth += 1
+        level = self._depth
+        try:
+            for direction, pairs in (("fwd", fwd_hooks), ("bwd", bwd_hooks)):
+                for name, fn in pairs:
+                    self.add_hook(name, fn, direction, level=level)
+            yield self
+        finally:
+            if reset_hooks_end:
+                self.reset(level=level)
+            self._depth -= 1
+
+    def run_with_hooks(self, tokens: DataFrame, fwd_hooks: list[tuple] = (), reset_hooks_end: bool = True) -> DataFrame:
+        with self.hooks(fwd_hooks, reset_hooks_end=reset_hooks_end):
+            return self.apply(tokens)
+
+
+def store_reader(store: CaptureStore, model_id: str, request_ids: list[str] | None = None, act_names: list[str] | None = None) -> Callable[[], DataFrame]:
+    """What make_lazy_internal and get_internal read with: token rows of a slot, listed and filtered anew at every read."""
+    return lambda: store.tokens(model_id, request_ids, act_names)
+
+
 def resolve_eos(*sources) -> frozenset[int]:
-    """The first source that is not None - an id, a list of ids or None - as a set; none: empty."""
+    """The first source that is not None - an id, a list of ids, an array or tensor of any shape - as a set; none: empty."""
     for s in sources:
         if s is not None:
-            return frozenset([s] if isinstance(s, int) else (int(x) for x in s))
+            found = s.tolist() if hasattr(s, "tolist") else s
+            while isinstance(found, (list, tuple)) and any(isinstance(x, (list, tuple)) for x in found):
+                found = [y for x in found for y in (x if isinstance(x, (list, tuple)) else [x])]
+            return frozenset([found] if isinstance(found, int) else (int(x) for x in found))
     return frozenset()
 
 

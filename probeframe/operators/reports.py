@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Windows up to which they are broadcast in a range join; with more, both sides are cut into buckets and joined by bucket.
+#: Windows up to which each row looks its one up by binary search in a broadcast table; with more, both sides are joined by bucket.
 FEW_WINDOWS = 10_000
 
 
 def in_windows(rows: DataFrame, windows: DataFrame, at: str = "start", lo: str = "lo", hi: str = "hi", width: int = 1 << 20) -> DataFrame:
     """Rows whose ``at`` lies in any window [lo, hi], ends included."""
     if windows.limit(FEW_WINDOWS + 1).count() <= FEW_WINDOWS:
-        w = F.broadcast(windows.select(lo, hi))
-        return rows.join(w, F.col(at).between(F.col(lo), F.col(hi)), "left_semi")
+        # a row lies in a window if the furthest end of all windows that have begun is not before it
+        furthest = F.max(hi).over(Window.orderBy(lo, hi).rowsBetween(Window.unboundedPreceding, 0))
+        table = windows.select(F.col(lo).alias("a"), furthest.alias("z")).agg(F.array_sort(F.collect_list(F.struct("a", "z"))).alias("__w"))
+        steps = F.array(*[F.lit(1 << k) for k in range(FEW_WINDOWS.bit_length() - 1, -1, -1)])
+        begun = F.aggregate(steps, F.lit(0), lambda i, s: F.when((i + s <= F.size("__w")) & (F.try_element_at("__w", i + s)["a"] <= F.col(at)), i + s).otherwise(i))
+        found = rows.crossJoin(F.broadcast(table)).withColumn("__i", begun)
+        return found.where((F.col("__i") > 0) & (F.try_element_at("__w", F.greatest(F.col("__i"), F.lit(1)))["z"] >= F.col(at))).drop("__w", "__i")
     cut = windows.select(lo, hi, F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))).alias("__b"))
     return rows.join(cut, (F.floor(F.col(at) / width) == F.col("__b")) & F.col(at).between(F.col(lo), F.col(hi)), "left_semi")
 

@@ -20,6 +20,11 @@ def latched(steps: DataFrame, eos: list[int], by: list[str], step: str = "step",
     return steps.withColumn("finished", F.coalesce(F.max(ends).over(w), F.lit(False)))
 
 
+def real_lengths(steps: DataFrame, strip_left: bool = True) -> DataFrame:
+    """``real_len`` of a prefill: what its mask counts, or the mask's whole ``width`` where left padding is kept."""
+    return steps if strip_left else steps.withColumn("real_len", F.when(F.col("prefill"), F.col("width")).otherwise(F.col("real_len")))
+
+
 def token_ranges(steps: DataFrame, by: list[str], step: str = "step") -> DataFrame:
     """Adds half-open ``range_start`` and ``range_end``: each step goes on where the one before ended; finished steps are empty."""
     n = F.when(F.col("finished"), 0).when(F.col("prefill"), F.col("real_len")).otherwise(1)

@@ -40,8 +40,8 @@ def prefix_values_only(spark, sf_dir):
 
 @query("custom_select", f"with {ROWS} select act_name, layer_no, count(*) as n from caps where request_id = '0:7' group by 1, 2")
 def custom_select(spark, sf_dir):
-    _captures(spark, sf_dir).createOrReplaceTempView("captures")
-    return store.custom_select(spark, "SELECT act_name, layer_no, count(*) AS n FROM captures WHERE request_id = :rid GROUP BY act_name, layer_no", {"rid": "0:7"})
+    text = "SELECT act_name, layer_no, count(*) AS n FROM {captures} WHERE request_id = :rid GROUP BY act_name, layer_no"
+    return store.custom_select(spark, text, {"rid": "0:7"}, captures=_captures(spark, sf_dir))
 
 
 @query("scan_act_ordered", f"with {ROWS} select layer_no, start_token_idx, pos, first from caps where model_id = 'run0' and act_name = 'blocks.hook_resid_pre'")

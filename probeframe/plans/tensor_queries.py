@@ -351,15 +351,64 @@ def chunked_strip(spark, sf_dir):
     return tok_emb(spark, sf_dir).select("vec_id", F.round(F.aggregate(kept, F.lit(0.0), lambda a, x: a + x), 9).alias("s"))
 
 
-@query("flush_batches", "with s as (select user_id % 8 as queue, event_id, (row_number() over (partition by user_id % 8 order by event_id) - 1) // 16 as batch from events) select queue, batch, count(*) as n, min(event_id) as first, max(event_id) as last from s group by 1, 2")
+#: Limits of the flush rule, as in the SQL below it.
+FLUSH = {"max_items": 24, "ratio": 0.8, "capacity": 1000, "timeout_s": 600}
+_ARRIVALS = "ev as (select event_id as seq, cast(user_id % 8 as bigint) as queue, cast(1 + event_id % 97 as bigint) as bytes, row_number() over (partition by user_id % 8 order by event_id) as rn from events)"
+_FLUSH = f"""recursive {_ARRIVALS},
+  r as (select queue, rn, seq, bytes, cast(0 as bigint) as batch, cast(1 as bigint) as items, bytes as total, seq as oldest from ev where rn = 1
+    union all select queue, rn, seq, bytes, b + batch, case when b = 1 then 1 else items + 1 end, case when b = 1 then bytes else total + bytes end, case when b = 1 then seq else oldest end
+    from (select e.queue, e.rn, e.seq, e.bytes, r.batch, r.items, r.total, r.oldest, case when r.items >= 24 or r.total >= 800 or r.seq - r.oldest >= 600 then 1 else 0 end as b from r join ev e on e.queue = r.queue and e.rn = r.rn + 1))"""
+
+
+@query("flush_batches", f"with {_FLUSH} select queue, batch, count(*) as n, min(seq) as first, max(seq) as last, cast(sum(bytes) as bigint) as bytes from r group by queue, batch")
 def flush_batches(spark, sf_dir):
-    e = read(spark, sf_dir, "events", "event_id", "user_id").withColumn("queue", F.col("user_id") % 8)
-    return pairing.count_batches(e, ["queue"], ["event_id"], 16).groupBy("queue", "batch").agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+    from ..streaming.delivery import flush_groups
+
+    e = read(spark, sf_dir, "events", F.col("event_id").cast("long").alias("seq"), (F.col("user_id") % 8).cast("long").alias("queue"), (1 + F.col("event_id") % 97).cast("long").alias("bytes"))
+    f = flush_groups(e.withColumn("at", F.col("seq")), **FLUSH)
+    return f.groupBy("queue", "batch").agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"), F.sum("bytes").alias("bytes"))
 
 
-@query("batch_pack")
+_PACK = f"""recursive {_ARRIVALS},
+  r as (select queue, rn, seq, bytes, cast(0 as bigint) as batch, cast(1 as bigint) as items, bytes as total from ev where rn = 1
+    union all select queue, rn, seq, bytes, b + batch, case when b = 1 then 1 else items + 1 end, case when b = 1 then bytes else total + bytes end
+    from (select e.queue, e.rn, e.seq, e.bytes, r.batch, r.items, r.total, case when r.items >= 32 or r.total + e.bytes > 1000 then 1 else 0 end as b from r join ev e on e.queue = r.queue and e.rn = r.rn + 1))"""
+
+
+@query("batch_pack", f"with {_PACK} select queue, seq, bytes, batch from r")
 def batch_pack(spark, sf_dir):
     from ..streaming.delivery import greedy_batches
 
     e = read(spark, sf_dir, "events", F.col("event_id").cast("long").alias("seq"), (F.col("user_id") % 8).cast("long").alias("queue"), (1 + F.col("event_id") % 97).cast("long").alias("bytes"))
     return greedy_batches(e, max_items=32, max_bytes=1000)
+
+
+def _stored(spark, sf_dir):
+    """A store of its own, with the token rows of the fixture as captured segments."""
+    from ..shared import scratch
+    from ..sources.codec import segments
+    from ..sources.store import CaptureStore
+
+    store = CaptureStore(spark, scratch(spark, "store") + "/captures")
+    store.create()
+    store.insert(segments(tok_emb(spark, sf_dir).drop("vec_id")))
+    return store
+
+
+@query("store_field", f"with {_SEQL}, g as (select request_id, layer_no, n, lw, unnest(range(lw)) as slot from (select distinct request_id, layer_no, n from sq) join wl using (layer_no)) select g.request_id, g.layer_no, slot, coalesce(v[1], 0) as first, coalesce(v[64], 0) as last from g left join sq on sq.request_id = g.request_id and sq.layer_no = g.layer_no and sq.seq = slot - (lw - g.n)")
+def store_field(spark, sf_dir):
+    """Segments written to a store, read back by slot and act, decoded to token rows, reassembled by field."""
+    from ..api import make_lazy_internal, store_reader
+
+    p = make_lazy_internal(store_reader(_stored(spark, sf_dir), "run0"), "run0").hidden_states
+    return p.select("request_id", "layer_no", "slot", *[F.coalesce(F.get("values", F.lit(i)), F.lit(0.0)).alias(n) for i, n in ((0, "first"), (63, "last"))])
+
+
+@query("store_prefix", f"with {TOK} select layer_no, start_token_idx, end_token_idx, pos, v[1] as first from tok where request_id = '0:3' and act_name = 'blocks.hook_resid_pre'")
+def store_prefix(spark, sf_dir):
+    """A key prefix over the store: one partition, and row groups by statistics."""
+    from ..sources.codec import token_rows
+    from ..sources.store import prefix_get
+
+    t = token_rows(prefix_get(_stored(spark, sf_dir).read(), ("run0", "0:3", "blocks.hook_resid_pre")))
+    return t.select("layer_no", "start_token_idx", "end_token_idx", "pos", F.get("values", F.lit(0)).alias("first"))

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import CAPTURES, KEY
+from ..schema import CAPTURES, HOOKS, KEY, stored_name
+from ..shared import delete, numbered
+from .codec import token_rows
 
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
+# Ports of the HTTP interface.
+HTTP_PORTS = (8123, 8443)
 CODECS = {"none": "none", "lz4": "lz4_raw", "zstd": "zstd"}
 #: Session settings that a caller may pass.
 SETTINGS = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.files.maxPartitionBytes", "spark.sql.autoBroadcastJoinThreshold")
@@ -21,6 +26,19 @@ def check_identifier(name: str) -> str:
     return name
 
 
+def check_port(port: int) -> int:
+    """A port of the native protocol: those that stores of this kind keep for HTTP are refused."""
+    if port in HTTP_PORTS or not 0 < port < 65536:
+        raise ValueError(f"not a native port: {port}")
+    return port
+
+
+def names_matching(predicate: Callable[[str], bool] | str) -> list[str]:
+    """Stored act names of the catalog that a function accepts, or that a regular expression matches whole."""
+    test = predicate if callable(predicate) else re.compile(predicate).fullmatch
+    return [n for n in (stored_name(h[1], h[3]) for h in HOOKS) if test(n)]
+
+
 def apply_settings(spark: SparkSession, settings: dict) -> None:
     """Sets allowed session settings; values are str, int or bool."""
     for k, v in settings.items():
@@ -37,13 +55,13 @@ class CaptureStore:
     def __init__(self, spark: SparkSession, path: str, compression: str = "zstd"):
         if compression not in CODECS:
             raise ValueError(f"unknown compression {compression!r}")
+        check_identifier(path.rstrip("/").rpartition("/")[2])
         self.spark, self.path, self.compression = spark, path.rstrip("/"), compression
 
     def _delete(self, path: str) -> bool:
         if not path.startswith(self.path):
             raise ValueError("outside the store")
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        return delete(self.spark, path)
 
     def create(self, drop_existing: bool = False) -> None:
         if drop_existing:
@@ -56,9 +74,33 @@ class CaptureStore:
         rows = rows.where("size(shape) > 0 and length(bytes) > 0").select(*[f.split()[0] for f in CAPTURES.split(", ")])
         rows.sortWithinPartitions(*KEY).write.mode("append").option("compression", CODECS[self.compression]).partitionBy("model_id").parquet(self.path)
 
+    def submit(self, model_id: str, shard_rank: int, request_id: str, act_name: str, layer_no: int, start: int, end: int, dtype: str, shape: list[int], payload: bytes) -> bool:
+        """One row; False (and nothing written) if it has no elements. For single rows: many belong into one insert."""
+        if not payload or not shape:
+            return False
+        self.insert(self.spark.createDataFrame([(model_id, request_id, act_name, layer_no, shard_rank, start, end, dtype, list(shape), payload)], CAPTURES))
+        return True
+
+    def discard(self, rows: DataFrame) -> None:
+        """Runs rows to their end and keeps nothing: transport alone."""
+        rows.write.format("noop").mode("overwrite").save()
+
     def read(self) -> DataFrame:
         return self.spark.read.schema(CAPTURES).parquet(self.path)
 
+    def scan(self, model_id: str) -> DataFrame:
+        """All rows of a slot in the order of the key without model_id; only the slot's files are read."""
+        return self.read().where(F.col("model_id") == model_id).orderBy(*KEY[1:]).drop("model_id")
+
+    def tokens(self, model_id: str, request_ids: list[str] | None = None, act_names: list[str] | None = None, predicate: Callable[[str], bool] | str | None = None) -> DataFrame:
+        """Token rows of a slot, filtered by request and act at the scan. predicate picks acts by a function or a pattern over the
+        names of the hook catalog."""
+        rows = self.read().where((F.col("model_id") == model_id) & (F.col("end_token_idx") > F.col("start_token_idx")))
+        rows = rows.where(F.col("request_id").isin(*request_ids)) if request_ids else rows
+        if predicate is not None:
+            act_names = sorted(set(act_names or names_matching(predicate)) & set(names_matching(predicate)))
+        return token_rows(rows.where(F.col("act_name").isin(*act_names)) if act_names is not None else rows)
+
     def wipe(self, model_id: str) -> bool:
         """Removes one slot; False if there was none. Other slots stay."""
         escaped = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(model_id)
@@ -77,11 +119,11 @@ def prefix_get(rows: DataFrame, prefix: tuple, full_key: bool = True) -> DataFra
     return rows if full_key else rows.drop(*KEY)
 
 
-def custom_select(spark: SparkSession, text: str, params: dict | None = None) -> DataFrame:
-    """SQL that starts with SELECT, with named parameters."""
+def custom_select(spark: SparkSession, text: str, params: dict | None = None, **tables: DataFrame) -> DataFrame:
+    """SQL that starts with SELECT, with named parameters; {name} in the text stands for a DataFrame given under that name."""
     if not text.lstrip().upper().startswith("SELECT"):
         raise ValueError("the query must start with SELECT")
-    return spark.sql(text, args=params or {})
+    return spark.sql(text, args=params or {}, **tables)
 
 
 def scan_act(rows: DataFrame, model_id: str, act_name: str) -> DataFrame:
@@ -112,7 +154,7 @@ def read_prompts(spark: SparkSession, path: str) -> DataFrame:
 def prompt_batches(prompts: DataFrame, size: int, order: list[str]) -> DataFrame:
     """Consecutive batches of ``size`` non-blank prompts, by a given order."""
     rows = prompts.where("prompt <> ''")
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size).cast("long"))
+    return numbered(rows, order, "batch").withColumn("batch", F.floor(F.col("batch") / size).cast("long"))
 
 
 def request_parts(request: Column) -> Column:

@@ -68,6 +68,40 @@ def greedy_batches(rows: DataFrame, max_items: int, max_bytes: int, queue: str =
     return kept.repartition(queue).sortWithinPartitions(queue, seq).mapInPandas(run, schema)
 
 
+def flush_groups(rows: DataFrame, queue: str = "queue", seq: str = "seq", size: str = "bytes", at: str = "at", **rules) -> DataFrame:
+    """(queue, seq, size, at, batch): after each arrival the rules of should_flush decide whether what is held goes out; ``at`` is the
+    time of arrival and the age that of the oldest item held. What is held depends on all arrivals before, so rows of a queue are
+    streamed in order with three numbers as the only state."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, batch, items, total, oldest = None, 0, 0, 0, 0
+        for f in frames:
+            out = []
+            for q, n, t in zip(f[queue], f[size], f[at], strict=True):
+                if q != key:
+                    key, batch, items, total = q, 0, 0, 0
+                oldest = t if items == 0 else oldest
+                items, total = items + 1, total + n
+                out.append(batch)
+                if should_flush(items, total, t - oldest, **rules):
+                    batch, items, total = batch + 1, 0, 0
+            yield f.assign(batch=out)
+
+    kept = rows.select(queue, seq, size, at)
+    schema = ", ".join(f"{c} {t}" for c, t in kept.dtypes) + ", batch long"
+    return kept.repartition(queue).sortWithinPartitions(queue, seq).mapInPandas(run, schema)
+
+
+def longest_prefix(sizes: list[int], room: int) -> int:
+    """How many items from the front fit into a staging area; one that is larger than the room on its own stops the rest."""
+    total = 0
+    for n, size in enumerate(sizes):
+        total += size
+        if total > room:
+            return n
+    return len(sizes)
+
+
 class OnFull(Enum):
     RAISE = "raise"
     DROP = "drop"
@@ -80,7 +114,11 @@ class Aborted(RuntimeError):
 
 
 class DeliverySink:
-    """A foreachBatch function that applies an overflow policy to a write; counts what is dropped. Batch ids make retries idempotent."""
+    """A foreachBatch function that applies an overflow policy to a write; counts what is dropped.
+
+    A batch that this sink has written is not written again. A restarted driver forgets what was written, so ``write`` should be
+    repeatable by batch id (for instance overwrite a folder named after it).
+    """
 
     def __init__(self, write: Callable[[DataFrame, int], None], on_full: OnFull = OnFull.RAISE, max_retries: int = 3, backoff_s: float = 0.0):
         self.write, self.on_full, self.max_retries, self.backoff_s = write, on_full, max_retries, backoff_s

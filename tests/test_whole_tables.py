@@ -19,10 +19,10 @@ def test_overlap_join_reads_every_event(spark, sf, tmp_path):
     sf_dir = events(spark, tmp_path, ids)
     spark.read.parquet(f"{sf}/embeddings.parquet").write.parquet(f"{sf_dir}/embeddings.parquet")
     spans = {}
-    for r in fixtures.tok_emb(spark, sf).where("layer_no = 1").select("request_id", "start_token_idx", "end_token_idx").collect():
+    for r in fixtures.tok_emb(spark, sf).select("request_id", "layer_no", "start_token_idx", "end_token_idx").collect():
         spans[tuple(r)] = spans.get(tuple(r), 0) + 1
-    want = sorted((i, s, n) for i in ids for (q, s, e), n in spans.items() if q == f"0:{i % 12}" and s < i % 6 + 3 and e > i % 6)
-    assert {i for i, _, _ in want} == set(ids)
+    want = sorted((i, y, s, n) for i in ids for (q, y, s, e), n in spans.items() if q == f"0:{i % 12}" and s < i % 6 + 3 and e > i % 6)
+    assert {x[0] for x in want} == set(ids)
     assert sorted(map(tuple, plans.QUERIES["overlap_join"](spark, sf_dir).collect())) == want
 
 
