@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the columns of docs.
 Null texts are empty documents; they are never toxic by their words, lose no lines, link with nothing, are taken 0 times by the mix.
+Rows of one doc_id with different texts are scored, and lose lines, each by its own text; they are one node of the near-copy groups,
+so they stay or go together; the mix takes rows of equal doc_id, source and size alike, and each is packed. Equal rows are treated
+alike. Lines go before near copies are judged: of a near copy the n-gram stage sees only the lines that no earlier document has.
 """
 
 from __future__ import annotations
@@ -55,7 +58,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL cannot express the classifier, so the stages are tested against brute-force versions.
+#: SQL cannot express the classifier, so each stage is tested against a plain version of it (tests/llm).
 ORACLE_SQL = None
 
 
