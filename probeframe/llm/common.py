@@ -5,30 +5,18 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a list of ids may be broadcast; beyond it the join shuffles.
-BROADCAST_IDS = 1_000_000
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or (tests only) a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="probeframe-")
-        atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(base)
-    return base
+from ..shared import clear_scratch, scratch, shared_folder
 
+__all__ = ["BROADCAST_IDS", "bounded_batches", "clear_scratch", "components", "only_listed", "saved", "scratch", "shared_folder", "ship_package"]
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path of its own below the shared folder."""
-    return f"{shared_folder(spark)}/probeframe/{name}-{uuid.uuid4().hex}"
+#: Rows up to which a list of ids may be broadcast; beyond it the join shuffles.
+BROADCAST_IDS = 500_000
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -54,10 +42,16 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000, mb: int = 8) -> None:
-    """Before Python work: keep what one Arrow batch brings to a worker small, also where texts are long."""
+    """Before Python work: keep what one Arrow batch brings to a worker small, also where texts are long.
+
+    Plans are made when results are asked for, so the two limits stay with the session; they only bound memory, change no result,
+    and are never raised above what the session has."""
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", mb << 20)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(name, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
 
 
 def only_listed(big: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_IDS) -> DataFrame:

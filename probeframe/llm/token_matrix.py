@@ -153,7 +153,7 @@ def write_matrices(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCA
 def _read(batches):
     for b in batches:
         out: list[tuple] = []
-        for r in b.to_pylist():
+        for r in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
             system, at = fs.FileSystem.from_uri(r["path"])
             with system.open_input_file(at) as f:
                 z = np.load(io.BytesIO(f.read()))
@@ -172,7 +172,7 @@ def _read(batches):
 
 def read_matrices(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece, from the written files."""
-    manifest.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    bounded_batches(manifest.sparkSession)
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return manifest.repartition("path").mapInArrow(_read, fields)
 

@@ -107,9 +107,11 @@ def described(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     html = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html).alias("payload_digest"))
     keys = rows.where(f"payload_bytes >= {least}").groupBy("payload_digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
-    key = F.when(F.col("payload_bytes") >= least, F.col("payload_digest"))
-    both = rows.withColumn("key", key).join(keys.withColumnRenamed("payload_digest", "key"), "key", "left")
-    return both.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when((F.col("page_id") != F.col("last")) | (F.col("page_id").isNull() & F.col("last").isNotNull()), F.col("last")).alias("refers_to"))
+    refers = F.when((F.col("page_id") != F.col("last")) | (F.col("page_id").isNull() & F.col("last").isNotNull()), F.col("last")).alias("refers_to")
+    fields = ["page_id", "url", "html", "payload_bytes", "payload_digest"]
+    large = rows.where(f"payload_bytes >= {least}").join(keys, "payload_digest", "left").select(*fields, refers)
+    # small payloads are never compared, so they do not take part in the join
+    return large.union(rows.where(f"payload_bytes < {least}").select(*fields, F.lit(None).cast("long")))
 
 
 def write_archives(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:

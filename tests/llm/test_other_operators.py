@@ -4,12 +4,13 @@ import hashlib
 import os
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from probeframe.llm import hashing_search, packing, token_matrix, tokens, warc
+from probeframe.llm import hashing_search, mixing, packing, token_matrix, tokens, toxicity, warc
 
 
 @pytest.fixture(scope="module")
@@ -186,18 +187,68 @@ def test_segment_tree_packs_as_best_fit_decreasing():
 
 
 def test_pipeline(spark, sf, tokenizer):
+    """Each stage against a plain version of it, on what the stage before kept."""
     import corpus_pipeline as p
+    from test_text_operators import linked, repeated_lines
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    before = {r.doc_id: r.text for r in docs.collect()}
-    for name, stage in p.STAGES[:-1]:
-        out = stage(spark, docs, sf)
-        assert out.columns == docs.columns, name
+    before = {r.doc_id: r for r in docs.collect()}
+
+    def after(k):
+        nonlocal docs
+        out = p.STAGES[k][1](spark, docs, sf)
+        assert out.columns == docs.columns
         rows = out.collect()
-        ids = {r.doc_id for r in rows}
-        assert ids <= set(before) and rows
-        if name != "line dedup":
-            assert all(r.text == before[r.doc_id] for r in rows), name
-        before = {r.doc_id: r.text for r in rows}
         docs = spark.createDataFrame(rows, docs.schema)
-    check_pieces(p.STAGES[-1][1](spark, docs, sf).collect(), [(r.doc_id, r.text) for r in docs.collect()], 4096, tokenizer)
+        return rows
+
+    rows = after(0)
+    predicted = {r.doc_id: r.predicted for r in toxicity.op5_toxicity(spark, sf).collect()}
+    assert {r.doc_id: r for r in rows} == {i: r for i, r in before.items() if not predicted[i]}
+
+    before = {r.doc_id: r for r in rows}
+    gone, want = repeated_lines({i: r.text for i, r in before.items()}), {}
+    for i, r in before.items():
+        lines = (r.text or "").split("\n")
+        kept = "\n".join(x for k, x in enumerate(lines) if (i, k) not in gone)
+        if kept == r.text or not r.text:
+            want[i] = (r.text, r.n_chars)
+        elif kept.split():
+            want[i] = (kept, len(kept))
+    rows = after(1)
+    assert {r.doc_id: (r.text, r.n_chars) for r in rows} == want and len(want) < len(before) + 1
+
+    before = {r.doc_id: r for r in rows}
+    rows = after(2)
+    parts = linked({i: r.text for i, r in before.items()})
+    assert {r.doc_id: r for r in rows} == {i: r for i, r in before.items() if parts[i][1] == i}
+
+    before = {r.doc_id: r for r in rows}
+    rows = after(3)
+    assert all(before[r.doc_id] == r for r in rows) and max(Counter(r.doc_id for r in rows).values()) <= 3
+    size = {i: len((r.text or "").encode().split()) for i, r in before.items()}
+    names = sorted({r.source for r in before.values()}, key=lambda x: (x is None, (x or "").encode()))
+    goal = mixing.targets(np.array([float(sum(size[i] for i, r in before.items() if r.source == n)) for n in names]))
+    for n, g in zip(names, goal, strict=True):
+        assert abs(sum(size[r.doc_id] for r in rows if r.source == n) - g) <= max(size[i] for i, r in before.items() if r.source == n)
+
+    pieces = p.STAGES[4][1](spark, docs, sf).collect()
+    check_pieces(pieces, [(r.doc_id, r.text) for r in rows], 4096, tokenizer)
+    used, sequences = sum(r.length for r in pieces), len({r.sequence_id for r in pieces})
+    assert sequences <= 1.05 * -(-used // 4096) + 1
+
+
+def test_pipeline_edges(spark, sf, edge, empty):
+    import corpus_pipeline as p
+
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    for table in (edge.select(*columns), empty.select(*columns), edge):
+        docs = table
+        for name, stage in p.STAGES[:-1]:
+            out = stage(spark, docs, sf)
+            assert out.columns == docs.columns, name
+            docs = spark.createDataFrame(out.collect(), docs.schema)
+        ids = {r.doc_id for r in docs.collect()}
+        assert ids <= {r.doc_id for r in table.collect()} and (table is empty or p.STAGES[-1][1](spark, docs, sf).count() >= len(ids))
+
+
