@@ -182,3 +182,27 @@ def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document of the table with the lines it keeps."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"), "text")
+
+
+ORACLE = r"""
+with l as (select doc_id, unnest(range(len(string_split(text, chr(10))))) as k, unnest(string_split(text, chr(10))) as line from documents where text is not null),
+     w as (select *, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as norm from l),
+     u as (select *, doc_id * 1000000 + k as place, len(string_split(norm, ' ')) as n from w where norm <> ''),
+     s as (select norm, n, min(place) as place from u group by all),
+     x as (select norm, place, case when n >= 8 then 0 else 1 end as kind, case when n >= 8 then string_split(norm, ' ') else string_split(norm, '') end as un from s where n >= 8 or length(norm) >= 8),
+     i as (select *, unnest(range(1, len(un) + 1)) as i from x),
+     v as (select norm, place, kind, i, list_concat(un[1:i - 1], un[i + 1:len(un)]) as rest from i),
+     a as (select kind, i, rest, min(place) as p from v group by all),
+     near as (select norm, p from v join a using (kind, i, rest) where p < place
+       union all select v.norm, x.place from v join x on x.kind = v.kind and x.un = v.rest where x.place < v.place
+       union all select x.norm, v.place from v join x on x.kind = v.kind and x.un = v.rest where v.place < x.place
+       union all select norm, place from s),
+     best as (select norm, min(p) as p from near group by norm),
+     gone as (select u.doc_id, u.k from u join best using (norm) where u.place > best.p),
+     g as (select doc_id, count(*) as n from gone group by doc_id),
+     c as (select doc_id, count(*) as n from u group by doc_id),
+     t as (select l.doc_id, string_agg(line, chr(10) order by l.k) as text from l anti join gone on l.doc_id = gone.doc_id and l.k = gone.k group by l.doc_id),
+     o as (select d.doc_id, coalesce(c.n, 0)::int as n_lines, coalesce(g.n, 0)::int as n_removed, case when g.n is null then d.text when g.n = c.n then '' else t.text end as text
+       from documents d left join c using (doc_id) left join g using (doc_id) left join t using (doc_id))
+select doc_id, n_lines, n_removed, sha256(coalesce(text, '')) as kept_sha256, text from o
+"""
