@@ -45,13 +45,18 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, mb: int = 8) -> None:
     """Before Python work: keep what one Arrow batch brings to a worker small, also where texts are long.
 
     Plans are made when results are asked for, so the two limits stay with the session; they only bound memory, change no result,
-    and are never raised above what the session has."""
+    and are never raised above what others have set."""
     ship_package(spark)
     for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", mb << 20)):
         name = f"spark.sql.execution.arrow.{key}"
         now = spark.conf.get(name, None)
-        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+        if now is None or not now.isdigit() or not 0 < int(now) <= most or now == _limits.get(name):
             spark.conf.set(name, str(most))
+            _limits[name] = str(most)
+
+
+#: The limits that bounded_batches itself has set last.
+_limits: dict[str, str] = {}
 
 
 def only_listed(big: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_IDS) -> DataFrame:

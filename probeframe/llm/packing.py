@@ -156,7 +156,7 @@ def pack(docs: DataFrame, window: int = WINDOW, width: int = WIDTH, vocabulary:
     if window % width:
         raise ValueError("window is a multiple of width")
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, rows=3000, mb=16)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("copy"), "text")
     schema = "doc_id long, copy long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
     pieces = saved(docs.mapInArrow(_pieces(vocabulary_path(vocabulary), window, end, with_ids), schema), "pack-pieces")

@@ -144,7 +144,7 @@ def write_matrices(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCA
     ``wide`` stores ids in 32 bits; None: where the vocabulary, end or pad has an id above 65,535, and False raises there.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, rows=3000, mb=16)
     folder = scratch(spark, "token-matrices")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return saved(rows.mapInArrow(_write(folder, vocabulary_path(vocabulary), window, end, pad, wide), MANIFEST), "token-manifest")

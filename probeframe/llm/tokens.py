@@ -85,20 +85,18 @@ class WordEncoder:
 
     def _known(self, words: list[str]) -> list[bytes]:
         """The ids of distinct words."""
-        new, old, plain = self.new, self.old, self.plain
-        out: list = [None] * len(words)
+        new, old, plain, latin = self.new, self.old, self.plain, self._latin
+        out: list = list(map(new.get, words))
         missing = []
-        for i, w in enumerate(words):
-            x = new.get(w)
+        for i in [i for i, x in enumerate(out) if x is None]:
+            w = words[i]
+            x = old.get(w)
+            if x is None and plain and len(w) <= 64:
+                x = latin(w)
             if x is None:
-                x = old.get(w)
-                if x is None and plain and len(w) <= 64:
-                    x = self._latin(w)
-                if x is None:
-                    missing.append(i)
-                    continue
-                new[w] = x
-            out[i] = x
+                missing.append(i)
+            else:
+                out[i] = new[w] = x
         for a in range(0, len(missing), 20_000):
             part = missing[a : a + 20_000]
             for i, e in zip(part, self.model.encode_batch([words[i] for i in part], add_special_tokens=False), strict=True):
