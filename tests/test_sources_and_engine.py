@@ -50,7 +50,7 @@ def test_store_end_to_end(spark, tmp_path):
     field = api.make_lazy_internal(api.store_reader(s, "a"), "a").hidden_states
     got = {(r["layer_no"], r["request_id"], r["slot"]): r["values"] for r in field.collect()}
     assert got[0, "0:0", 4] == x[0].tolist() and got[0, "0:1", 0] is None and got[0, "0:1", 1] == (x[0] + 100).tolist() and got[2, "0:1", 3] == (x[3] + 102).tolist()
-    assert list(api.get_internal(api.store_reader(s, "a"), "a")) == ["hidden_states"]
+    assert "hidden_states" in api.get_internal(api.store_reader(s, "a"), "a")
     spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
     plan = store.prefix_get(s.read(), ("a", "0:1", "blocks.hook_resid_pre", 2))._jdf.queryExecution().toString()
     spark.conf.unset("spark.sql.maxMetadataStringLength")
