@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, ngram_join, passages, warc
+from . import line_dedup, ngram_join, passages, spot_signatures, warc
 from .hashing_search import op2_multi_index_hashing
 from .line_dedup import op4_line_dedup
 from .mixing import op10_mix_sources
@@ -26,4 +26,6 @@ QUERIES = {
     "op10_mix_sources": op10_mix_sources,
 }
 
-ORACLES = {"op1_warc": warc.ORACLE, "op4_line_dedup": line_dedup.ORACLE, "op7_repeated_phrases": passages.ORACLE, "op9_ngram_jaccard_join": ngram_join.ORACLE}
+ORACLES = {
+    "op1_warc": warc.ORACLE, "op3_spot_signatures": spot_signatures.ORACLE, "op4_line_dedup": line_dedup.ORACLE, "op7_repeated_phrases": passages.ORACLE, "op9_ngram_jaccard_join": ngram_join.ORACLE,
+}

@@ -2,9 +2,9 @@
 
 Words are runs of anything but white space and ASCII punctuation, in lower case. Wherever a common word (an anchor) stands
 directly before a content word, that content word and the next two content words, whatever common words lie between, form a
-chain; a spot signature is the hash of anchor and chain. A document's set is its distinct signatures. A text with no complete
-chain has one signature, the hash of all its words (of the text itself, if there are none). The fingerprint is the sorted set, as
-hexadecimal numbers; likeness is the Jaccard of two fingerprints' sets.
+chain; a spot signature is a hash of anchor and chain (16 hexadecimal digits of an MD5). A document's set is its distinct signatures. A
+text with no complete chain has one signature, the hash of all its words (of the text itself, if there are none). The fingerprint is
+the sorted set, joined by spaces; likeness is the Jaccard of two fingerprints' sets.
 """
 
 from __future__ import annotations
@@ -37,18 +37,22 @@ def with_signatures(rows: DataFrame, text: str, name: str) -> DataFrame:
     rows = rows.withColumn("__p", F.concat(F.array(F.lit("")), F.col("__w")))
     rows = rows.withColumn("__z", F.arrays_zip("__w", "__p"))
     rows = rows.withColumn("__c", F.filter("__z", lambda x: x["__w"].isNotNull() & ~x["__w"].isin(*common)))
-    rows = rows.withColumn("__h", F.transform("__c", lambda x: F.struct(F.xxhash64(x["__w"]).alias("w"), F.when(x["__p"].isin(*common), F.xxhash64(x["__p"])).alias("p"))))
+    rows = rows.withColumn("__h", F.transform("__c", lambda x: F.struct(x["__w"].alias("w"), F.when(x["__p"].isin(*common), x["__p"]).alias("p"))))
     rows = rows.withColumn("__s1", F.slice("__h", F.lit(2), F.size("__h"))).withColumn("__s2", F.slice("__h", F.lit(3), F.size("__h")))
     rows = rows.withColumn("__r", F.filter(F.arrays_zip("__h", "__s1", "__s2"), lambda x: x["__h"]["p"].isNotNull() & x["__s2"].isNotNull()))
-    chains = F.array_sort(F.array_distinct(F.transform("__r", lambda x: F.xxhash64(x["__h"]["p"], x["__h"]["w"], x["__s1"]["w"], x["__s2"]["w"]))))
-    rows = rows.withColumn("__x", chains)
-    whole = F.when(F.size("__w") > 0, F.xxhash64(F.lit(1), F.col("__w"))).otherwise(F.xxhash64(F.lit(2), t))
+    chain = F.transform("__r", lambda x: _short(F.concat_ws(" ", x["__h"]["p"], x["__h"]["w"], x["__s1"]["w"], x["__s2"]["w"])))
+    rows = rows.withColumn("__x", F.array_sort(F.array_distinct(chain)))
+    whole = F.when(F.size("__w") > 0, _short(F.concat(F.lit("words "), F.array_join("__w", " ")))).otherwise(_short(F.concat(F.lit("text "), t)))
     return rows.select(*keep, F.when(F.size("__x") > 0, F.col("__x")).otherwise(F.array(whole)).alias(name))
 
 
+def _short(text: Column) -> Column:
+    return F.left(F.md5(text.cast("binary")), F.lit(16))
+
+
 def fingerprint(signs: Column) -> Column:
     """The sorted set as text, so that likeness follows from two fingerprints."""
-    return F.array_join(F.transform(signs, lambda s: F.lower(F.hex(s))), " ")
+    return F.array_join(signs, " ")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -141,3 +145,30 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def op3_spot_signatures(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+_ANCHORS_SQL = ", ".join(f"'{w}'" for w in sorted(set(ANCHORS)))
+
+
+def _signatures_sql(texts: str, name: str) -> str:
+    """Common table expressions that end in ``name`` (doc_id, signs), for a table (doc_id, t)."""
+    return f"""{name}w as (select doc_id, t, list_filter(regexp_split_to_array(lower(t), '[\\x09-\\x0D \\x21-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7E]+'), lambda x: x <> '') as ws from {texts}),
+     {name}e as (select doc_id, unnest(ws) as w, unnest(range(len(ws))) as i, unnest(list_concat([''], ws[1:len(ws) - 1])) as p from {name}w),
+     {name}c as (select doc_id, w, p, i, lead(w, 1) over (partition by doc_id order by i) as w1, lead(w, 2) over (partition by doc_id order by i) as w2 from {name}e where w not in ({_ANCHORS_SQL})),
+     {name}s as (select doc_id, list_sort(list(distinct md5(p || ' ' || w || ' ' || w1 || ' ' || w2)[1:16])) as signs from {name}c where p in ({_ANCHORS_SQL}) and w2 is not null group by doc_id),
+     {name} as (select w.doc_id, coalesce(signs, [md5(case when len(ws) > 0 then 'words ' || array_to_string(ws, ' ') else 'text ' || t end)[1:16]]) as signs from {name}w w left join {name}s using (doc_id))"""
+
+
+def _likeness_sql(a: str, b: str) -> str:
+    return f"len(list_intersect({a}, {b}))::double / (len({a}) + len({b}) - len(list_intersect({a}, {b})))"
+
+
+ORACLE = f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+     n as (select *, coalesce(lead(doc_id) over (order by doc_id desc), first(doc_id) over (order by doc_id desc)) as next from d),
+     e as (select n.doc_id, n.next, length(n.t) as n_chars, n.t[1:length(n.t) - length(n.t) // 3] || m.t[1:length(n.t) // 3] as t from n join d m on m.doc_id = n.next),
+     {_signatures_sql("d", "own")}, {_signatures_sql("e", "changed")}
+select e.doc_id, n_chars::bigint as n_chars, sha256(e.t) as edited_sha256, array_to_string(o.signs, ' ') as fingerprint, array_to_string(c.signs, ' ') as edited_fingerprint,
+       {_likeness_sql("o.signs", "c.signs")} as near_edited, {_likeness_sql("o.signs", "x.signs")} as near_next
+from e join own o on o.doc_id = e.doc_id join changed c on c.doc_id = e.doc_id join own x on x.doc_id = e.next
+"""
