@@ -72,8 +72,10 @@ class CaptureAdapter(ABC):
         return n.groupBy("engine", "step").agg(size.alias("planned"), F.count("*").alias("hooks"), F.bool_or("eager").alias("eager"))
 
     def reserve(self, plan: DataFrame) -> DataFrame:
-        """Outcome and ring level of each planned step; the adapter is told about those larger than the ring."""
-        out = rules.reservations(plan, self.capacity)
+        """Outcome, ring level and way of each planned step: through the ring, after a flush, or directly (unstripped) where it is
+        larger than the ring; the adapter is told about the last."""
+        way = F.when(F.col("outcome") == 0, "ring").when(F.col("outcome") == 1, "flush").when(F.col("outcome") == 2, "direct")
+        out = rules.reservations(plan, self.capacity).withColumn("way", way)
         large = out.where("outcome = 2")
         if large.take(1):
             self.on_capacity_exceeded(large)

@@ -412,3 +412,15 @@ def store_prefix(spark, sf_dir):
 
     t = token_rows(prefix_get(_stored(spark, sf_dir).read(), ("run0", "0:3", "blocks.hook_resid_pre")))
     return t.select("layer_no", "start_token_idx", "end_token_idx", "pos", F.get("values", F.lit(0)).alias("first"))
+
+
+_CAPTURES = "ca as (select request_id, layer_no, start_token_idx, end_token_idx, count(*) as n, list(v order by pos) as v from tok group by all), cb as (select request_id, layer_no, start_token_idx, end_token_idx, count(*) as n, list(v order by pos) as v from r0 group by all)"
+
+
+@query("capture_compare", f"with {REF}, {_CAPTURES} select request_id, layer_no, start_token_idx, end_token_idx, true as dtype_ok, ca.n = cb.n as shape_ok, ca.v = cb.v as equal from ca join cb using (request_id, layer_no, start_token_idx, end_token_idx)")
+def capture_compare(spark, sf_dir):
+    """Segments as stored, by dtype, shape and bytes."""
+    from ..sources.codec import segments
+
+    a, b = (segments(t.drop("vec_id")) for t in (tok_emb(spark, sf_dir), ref_emb(spark, sf_dir).dropDuplicates(ROW)))
+    return pairing.compare_captures(a, b, ["request_id", "layer_no", "start_token_idx", "end_token_idx"])

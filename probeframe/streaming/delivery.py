@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -11,6 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
+_log = logging.getLogger(__name__)
+
+
 @dataclass(frozen=True)
 class QueueConfig:
     """When a batch may be taken and how large it may be; 0 turns a rule off. Contradictions raise ValueError."""
@@ -135,7 +139,9 @@ class DeliverySink:
             except Exception as e:
                 self.failures.append(e)
                 if self.on_full is OnFull.DROP:
-                    self.dropped += batch.count()
+                    rows = batch.count()
+                    self.dropped += rows
+                    _log.warning("batch %s of %s rows is dropped: %s", batch_id, rows, e)
                     return
                 if self.on_full is OnFull.ABORT:
                     raise Aborted(str(e)) from e

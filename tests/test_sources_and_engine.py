@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from probeframe import api, shared
 from probeframe.adapter import CaptureAdapter
-from probeframe.operators import pairing, steps
+from probeframe.operators import pairing, reassemble, steps
 from probeframe.plans.fixtures import SHAPE
 from probeframe.schema import CAPTURES
 from probeframe.sources import codec, reports, store
@@ -226,7 +226,7 @@ def test_adapter(spark):
         a.specs(spark, "q,mlp_post", {"intermediate_dim": None, "num_experts": 1, "top_k": 1})
     plan = a.plan(spark, "q,k")
     assert {r.step: (r.planned, r.hooks) for r in plan.collect()}[0] == (2 * 8 * 128 + 2 * 4 * 128, 2)
-    assert [r.outcome for r in a.reserve(plan).orderBy("step").collect()] == [0, 0, 2] and a.told == 1
+    assert [(r.outcome, r.way) for r in a.reserve(plan).orderBy("step").collect()] == [(0, "ring"), (0, "ring"), (2, "direct")] and a.told == 1
 
 
 def test_hooks(spark):
@@ -268,6 +268,11 @@ def test_public_surface():
     assert api.resolve_eos(None, np.array([[2], [3]])) == {2, 3} and api.resolve_eos(np.array(5)) == {5} and api.resolve_eos(None) == frozenset()
 
 
+def test_whole_layers(spark):
+    t = spark.createDataFrame([(0, 1.0), (2, 1.0), (-1, 1.0)], "layer_no int, x double")
+    assert reassemble.whole_layers(t, 3) is None and reassemble.whole_layers(t.where("layer_no < 1"), 1).count() == 2
+
+
 def test_left_padding_and_scratch(spark):
     s = spark.createDataFrame([(0, True, 3, 8), (1, False, 1, 8)], "step long, prefill boolean, real_len int, width int")
     assert [r.real_len for r in steps.real_lengths(s, strip_left=False).orderBy("step").collect()] == [8, 1] and steps.real_lengths(s) is s
