@@ -442,9 +442,10 @@ def linked_components(docs: DataFrame, share: tuple[int, int] = SHARE) -> DataFr
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = saved(docs.mapInArrow(_describe, "doc_id long, n int, k1 long, k2 long"), "ngram-described")
-    classes = described.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
-    members = saved(described.join(classes, ["k1", "k2", "n"], "left").select("doc_id", "n", "rep"), "ngram-members")
-    reps = saved(members.where("rep = doc_id").groupBy("rep").agg(F.sum("n").alias("n")).select(F.col("rep").alias("doc_id"), "n"), "ngram-classes")
+    # written, so that the join shuffles both sides and a class of very many copies can be split
+    classes = saved(described.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")), "ngram-classes")
+    members = saved(described.join(classes.hint("merge"), ["k1", "k2", "n"], "left").select("doc_id", "n", "rep"), "ngram-members")
+    reps = saved(members.where("rep = doc_id").groupBy("rep").agg(F.sum("n").alias("n")).select(F.col("rep").alias("doc_id"), "n"), "ngram-reps")
     # rows of one doc_id in several classes link these
     joined = members.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("b")).where("size(b) > 1")
     joined = joined.select("a", F.explode("b").alias("b")).where("a <> b")
