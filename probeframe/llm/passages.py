@@ -31,7 +31,7 @@ from .words import grams, mix, text_buffer, windows, word_table
 
 WINDOW, PHRASE = 50, 16
 #: Stretches that are compared with one copy of their owner's.
-RUN = 1000
+RUN = 250
 
 
 def picks(h: np.ndarray, window: int = WINDOW, phrase: int = PHRASE) -> tuple[np.ndarray, np.ndarray]:
