@@ -1,7 +1,8 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
 Confirmed toxic documents are the positives; the unlabelled documents are drawn from all learning rows, toxic ones included, so that they
-hold positives at the class prior. With the class prior pi (the toxic share of the labelled learning rows), the risk of a linear classifier over hashed words is
+hold positives at the class prior. Labels may cover a part that is not like the rest, so the class prior pi of all learning rows is counted
+where there are labels; where there are none it is taken to be the same unless the texts speak against it (open_share). The risk of a linear classifier over hashed words is
 pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)), minimised in numpy by mini-batches; where the second term falls below zero a step
 goes against it. The classifier is fitted on two bounded samples (max_positive, max_unlabelled: the documents of smallest hash);
 scores are made for every whole text.
@@ -28,6 +29,8 @@ MAX_POSITIVE = 6000
 MAX_UNLABELLED = 24000
 #: A cell is used if this share of the positives (and MIN_POSITIVES of them) hold it, LIFT times the negatives' share as estimated.
 MIN_SHARE, MIN_POSITIVES, LIFT = 0.006, 4, 8.0
+#: Telling cells must be found in this many more of the toxic than of the clean texts before they count texts without a label.
+TELLING = 0.2
 
 _BREAK = SPACE.copy()
 _BREAK[[ord(c) for c in string.punctuation]] = True
@@ -47,7 +50,7 @@ def _cells(bits: int):
         for b in batches:
             cells, first = features(b.column(1), bits)
             lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(cells, pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["positive", "cells"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), lists], names=["positive", "label", "cells"])
 
     return run
 
@@ -65,6 +68,32 @@ def informative(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
     return (p >= max(MIN_POSITIVES, MIN_SHARE * len(positive))) & (p / len(positive) >= LIFT * negative)
 
 
+def open_share(toxic: list[np.ndarray], clean: list[np.ndarray], unknown: list[np.ndarray], like: float, bits: int = BITS) -> float:
+    """The share of toxic texts among those without a label: that of the labelled ones (like), unless an adjusted count says otherwise.
+    It is how many hold a cell that tells toxic from clean texts, corrected by how many of the toxic and of the clean ones do; cells are
+    chosen on one half of the labelled texts and counted on the other, both ways. It counts if it is further than three standard
+    errors from like."""
+    found = []
+    for k in (0, 1):
+        p, c, q, d = toxic[k::2], clean[k::2], toxic[1 - k :: 2], clean[1 - k :: 2]
+        if not (p and c and q and d and unknown):
+            continue
+        cell = [np.bincount(np.concatenate(x), minlength=1 << bits) for x in (p, c)]
+        used = (cell[0] >= max(MIN_POSITIVES, MIN_SHARE * len(p))) & (cell[0] / len(p) >= LIFT * cell[1] / len(c))
+        held = [sum(bool(used[r].any()) for r in x) for x in (q, d, unknown)]
+        hit, miss, of = (h / len(x) for h, x in zip(held, (q, d, unknown), strict=True))
+        if hit - miss < TELLING:
+            continue
+        share = min(1.0, max(0.0, (of - miss) / (hit - miss)))
+        near = [((h + 0.5) / (len(x) + 1), len(x)) for h, x in zip(held, (q, d, unknown), strict=True)]  # never 0 or 1, so errors are not 0
+        error = sum(w * w * r * (1 - r) / n for w, (r, n) in zip((share, 1 - share, 1.0), near, strict=True)) ** 0.5 / (hit - miss)
+        found.append((share, error))
+    if not found:
+        return like
+    share, error = (sum(x) / len(found) for x in zip(*found, strict=True))
+    return share if abs(share - like) > 3 * error else like
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, bits: int = BITS, epochs: int = 70, rate: float = 0.04, decay: float = 5e-5, batch: int = 3000, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias of the classifier; logistic loss, Adam, non-negative risk with steps against a negative part."""
     rng = np.random.default_rng(seed)
@@ -121,23 +150,29 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     counts = learn.agg(F.sum("toxic"), F.count("*")).first()
     if not counts[0] or counts[0] == counts[1]:
         return None
-    prior = counts[0] / counts[1]
     rows = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text")
     # the samples are chosen by ids alone; only their texts are read on
-    ids = rows.select("doc_id").distinct().join(learn, "doc_id", "left").select("doc_id", F.coalesce("toxic", F.lit(0)).alias("positive"))
+    ids = saved(rows.select("doc_id").distinct().join(learn.withColumnRenamed("toxic", "label"), "doc_id", "left").withColumn("label", F.col("label").cast("int")), "toxicity-ids")
+    n, labelled, known = ids.agg(F.count("*"), F.count("label"), F.sum("label")).first()
     rank = [F.xxhash64(F.lit(seed), "doc_id") for seed in (11, 12)]
-    toxic = ids.where("positive = 1").orderBy(rank[0], "doc_id").limit(max_positive)
+    toxic = ids.where("label = 1").withColumn("positive", F.lit(1)).orderBy(rank[0], "doc_id").limit(max_positive)
     drawn = ids.withColumn("positive", F.lit(0)).orderBy(rank[1], "doc_id").limit(max_unlabelled)
     chosen = saved(toxic.union(drawn), "toxicity-sample")
-    sample = rows.join(F.broadcast(chosen), "doc_id").select("positive", "text").mapInArrow(_cells(bits), "positive int, cells array<int>")
+    sample = rows.join(F.broadcast(chosen), "doc_id").select("positive", "text", "label").mapInArrow(_cells(bits), "positive int, label int, cells array<int>")
     got: dict[int, list[np.ndarray]] = {0: [], 1: []}
+    by_label: dict[int | None, list[np.ndarray]] = {0: [], 1: [], None: []}
     for r in sample.toArrow().to_batches():
-        for k, cells in zip(r.column(0).to_pylist(), r.column(1), strict=True):
+        for k, label, cells in zip(r.column(0).to_pylist(), r.column(1).to_pylist(), r.column(2), strict=True):
             got[k].append(cells.values.to_numpy().astype(np.int64))
+            if k == 0:
+                by_label.setdefault(label, []).append(got[k][-1])
     if not got[0] or not got[1]:
         return None
-    for k in got:  # the order of rows must not matter
-        got[k].sort(key=lambda c: c.tobytes())
+    for k in (*got.values(), *by_label.values()):  # the order of rows must not matter
+        k.sort(key=lambda c: c.tobytes())
+    rest = open_share(got[1], by_label[0], by_label[None], counts[0] / counts[1], bits)
+    prior = (known + (n - labelled) * rest) / n
+    prior = min(prior, 1 - 0.5 / n)
     return fit(got[1], got[0], prior, bits)
 
 

@@ -335,6 +335,19 @@ def test_toxicity_prior_is_taken_off_the_unlabelled(spark):
     assert np.flatnonzero(toxicity.informative(positive, unlabelled, 0.1, 4)).tolist() == [1]
 
 
+def test_toxicity_prior_of_rows_without_labels(spark):
+    toxic, clean, odd = [np.array([1, 2])] * 20, [np.array([2, 3])] * 60, [np.array([2, 3])] * 95 + [np.array([1, 2])] * 5
+    assert abs(toxicity.open_share(toxic, clean, odd, 0.25, 4) - 0.05) < 1e-9 and toxicity.open_share(toxic, clean, clean, 0.25, 4) == 0.0
+    assert toxicity.open_share(toxic, clean, odd, 0.06, 4) == 0.06  # too near to tell
+    assert toxicity.open_share(toxic, toxic, odd, 0.5, 4) == 0.5 and toxicity.open_share(toxic[:1], clean, odd, 0.9, 4) == 0.9
+    # labels for every toxic text and few of the others: their toxic share is ten times that of all texts
+    docs = {i: f"n{i % 7} n{i % 11}" + (" vile" if i % 20 == 0 else "") for i in range(1000)}
+    labels = spark.createDataFrame([(i, int(i % 20 == 0)) for i in docs if i % 20 in (0, 1)], "doc_id long, toxic int")
+    d = frame(spark, docs)
+    scores = {r.key: r.score for r in toxicity.score(d, toxicity.train(d, labels)).collect()}
+    assert all((scores[i] >= 0.3) == (i % 20 == 0) for i in docs)
+
+
 def test_toxicity_edges(spark, edge, empty):
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
     assert toxicity.train(edge, none) is None
