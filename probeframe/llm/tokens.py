@@ -14,6 +14,10 @@ from .words import text_buffer
 
 #: Words whose ids a worker keeps at most, in two generations.
 CACHED_WORDS = 300_000
+#: Distinct words that are looked up at once.
+KNOWN = 30_000
+#: Words whose ids are put in place at once.
+GATHERED = 1 << 16
 VOCABULARY = "word_bpe_49k.json"
 END = 2
 
@@ -113,16 +117,29 @@ class WordEncoder:
         data, at = text_buffer(column)
         text = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(at)), pa.py_buffer(_SPACES[data])])
         parts = pc.split_pattern(text, " ")
-        words = parts.flatten().dictionary_encode()
-        known = self._known(words.dictionary.to_pylist())
-        size = np.fromiter(map(len, known), np.int64, len(known)) >> 2
-        start = np.concatenate(([0], np.cumsum(size)))[: len(size)]
+        words, rows = parts.flatten().dictionary_encode(), np.asarray(parts.offsets)
+        del data, text, parts
+        # distinct words in blocks, so that the kept words and those of a block are all the words that are Python's at a time
+        size, flat = np.empty(len(words.dictionary), np.int64), []
+        for a in range(0, len(size), KNOWN):
+            known = self._known(words.dictionary.slice(a, KNOWN).to_pylist())
+            size[a : a + len(known)] = np.fromiter(map(len, known), np.int64, len(known)) >> 2
+            flat.append(b"".join(known))
+            del known
         which = words.indices.to_numpy()
-        length = size[which]
-        ends = np.concatenate(([0], np.cumsum(length)))
-        flat = np.frombuffer(b"".join(known), dtype="<u4")
-        ids = flat[np.repeat(start[which] - ends[:-1], length) + np.arange(ends[-1])]
-        return ids, ends[np.asarray(parts.offsets)]
+        del words
+        pa.default_memory_pool().release_unused()
+        start = np.concatenate(([0], np.cumsum(size)))[: len(size)]
+        flat = np.frombuffer(b"".join(flat), dtype="<u4")
+        # the ids of a block of words at a time: positions take several times the room of the ids
+        ends = np.zeros(len(which) + 1, np.int64)
+        np.cumsum(size[which], out=ends[1:])
+        ids = np.empty(ends[-1], dtype="<u4")
+        for a in range(0, len(which), GATHERED):
+            some = which[a : a + GATHERED]
+            first, last = ends[a], ends[min(a + GATHERED, len(which))]
+            ids[first:last] = flat[np.repeat(start[some] - ends[a : a + len(some)] + first, size[some]) + np.arange(last - first)]
+        return ids, ends[rows]
 
     def ids(self, text: str | None) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit values."""

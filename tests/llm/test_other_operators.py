@@ -252,3 +252,14 @@ def test_pipeline_edges(spark, sf, edge, empty):
         assert ids <= {r.doc_id for r in table.collect()} and (table is empty or p.STAGES[-1][1](spark, docs, sf).count() >= len(ids))
 
 
+def test_encoder_keeps_few_words_and_works_in_blocks(monkeypatch):
+    texts = [" ".join(f"w{i}q{j} x{j % 7}" for j in range(40)) for i in range(50)] + [None, "", "  \t a"]
+    column = tokens.pa.array(texts, tokens.pa.large_string())
+    want = tokens.WordEncoder(tokens.vocabulary_path()).batch(column)
+    monkeypatch.setattr(tokens, "KNOWN", 70)
+    monkeypatch.setattr(tokens, "GATHERED", 33)
+    small = tokens.WordEncoder(tokens.vocabulary_path(), cached=100)
+    for _ in range(2):
+        ids, first = small.batch(column)
+        assert (ids == want[0]).all() and (first == want[1]).all()
+        assert len(small.new) + len(small.old) <= 2 * (100 + 70)  # not all 2,008 words of the batch
