@@ -13,16 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probeframe.llm import line_dedup, mixing, ngram_join, packing, toxicity
-from probeframe.llm.common import scratch
+from probeframe.llm.common import rest, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold stay as they are."""
+    rest(spark)
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts keep the lines that no earlier line is within one edit of; documents that lose all their lines go."""
+    rest(spark)
     out = line_dedup.dedup_lines(docs)
     out = out.where("n_removed = 0 or n_removed < n_lines")
     if "n_chars" in docs.columns:
@@ -32,11 +34,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that of the smallest doc_id."""
+    rest(spark)
     return ngram_join.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it, whole."""
+    rest(spark)
     copies = mixing.mix(docs.select("doc_id", "text", "source"), whole=True).where("copies > 0 and size > 0")
     copies = copies.groupBy("doc_id", "source", "size").agg(F.first("copies").alias("copies"))
     words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
@@ -47,6 +51,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 4096 tokens."""
+    rest(spark)
     return packing.pack(docs).select("doc_id", "copy", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..shared import clear_scratch, scratch, shared_folder
 
-__all__ = ["BROADCAST_IDS", "bounded_batches", "clear_scratch", "components", "only_listed", "saved", "scratch", "shared_folder", "ship_package"]
+__all__ = ["BROADCAST_IDS", "bounded_batches", "clear_scratch", "components", "only_listed", "rest", "saved", "scratch", "shared_folder", "ship_package"]
 
 #: Rows up to which a list of ids may be broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 500_000
@@ -26,6 +26,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def rest(spark: SparkSession) -> None:
+    """Before a stage that reads what the last one has written: the driver's heap is collected. What no plan refers to any more -
+    plans themselves, broadcast tables, shuffles - goes, and the heap shrinks instead of growing from stage to stage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once for each context."""
     context = spark.sparkContext

@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ CAP = 3
 #: Sources up to which their table of targets is broadcast; with more it is joined by a shuffle.
 BROADCAST_SOURCES = 100_000
 GRID = 32
+KINDS = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
 
 
 def targets(sizes: np.ndarray, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> np.ndarray:
@@ -44,8 +46,10 @@ def targets(sizes: np.ndarray, weights: tuple[float, ...] = WEIGHTS, cap: float
 
 
 def _with(rows: DataFrame, table: list[tuple], names: str) -> DataFrame:
-    """rows joined by ``k`` to the driver's table of one row for each source."""
-    other = rows.sparkSession.createDataFrame(table, names)
+    """rows joined by ``k`` to the driver's table of one row for each source. The table is handed over in Arrow form, so no job makes it."""
+    kinds = [n.split() for n in names.split(", ")]
+    columns = [pa.array(c, KINDS[kind]) for c, (_, kind) in zip(zip(*table, strict=True) if table else [()] * len(kinds), kinds, strict=True)]
+    other = rows.sparkSession.createDataFrame(pa.table(columns, [n for n, _ in kinds]))
     return rows.join(F.broadcast(other) if len(table) <= BROADCAST_SOURCES else other, "k")
 
 

@@ -60,10 +60,18 @@ def _sums(w: np.ndarray, cells: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
+def _counts(rows: list[np.ndarray], bits: int) -> np.ndarray:
+    """How many rows hold each cell; some rows at a time, so that no copy of all cells is made."""
+    out = np.zeros(1 << bits, np.int64)
+    for a in range(0, len(rows), 500):
+        out += np.bincount(np.concatenate(rows[a : a + 500]), minlength=1 << bits)
+    return out
+
+
 def informative(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, bits: int = BITS) -> np.ndarray:
     """Which cells are frequent enough, and more so among positives. The negatives' share is the unlabelled texts' less what the
     prior puts down to positives."""
-    p, u = (np.bincount(np.concatenate(x), minlength=1 << bits) for x in (positive, unlabelled))
+    p, u = (_counts(x, bits) for x in (positive, unlabelled))
     negative = np.maximum(0.0, u / len(unlabelled) - prior * p / len(positive)) / (1 - prior)
     return (p >= max(MIN_POSITIVES, MIN_SHARE * len(positive))) & (p / len(positive) >= LIFT * negative)
 
@@ -78,7 +86,7 @@ def open_share(toxic: list[np.ndarray], clean: list[np.ndarray], unknown: list[n
         p, c, q, d = toxic[k::2], clean[k::2], toxic[1 - k :: 2], clean[1 - k :: 2]
         if not (p and c and q and d and unknown):
             continue
-        cell = [np.bincount(np.concatenate(x), minlength=1 << bits) for x in (p, c)]
+        cell = [_counts(x, bits) for x in (p, c)]
         used = (cell[0] >= max(MIN_POSITIVES, MIN_SHARE * len(p))) & (cell[0] / len(p) >= LIFT * cell[1] / len(c))
         held = [sum(bool(used[r].any()) for r in x) for x in (q, d, unknown)]
         hit, miss, of = (h / len(x) for h, x in zip(held, (q, d, unknown), strict=True))
@@ -105,7 +113,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     def grads(rows: list[np.ndarray], sign: float):
         """Mean loss log(1 + exp(-sign z)) and its gradient by cell and bias."""
         first = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
-        cells = np.concatenate([*rows, np.empty(0, np.int64)])
+        cells = np.concatenate([*rows, np.empty(0, np.int32)])
         z = sign * (_sums(w, cells, first) + b)
         d = -sign / (1 + np.exp(np.clip(z, -60, 60))) / max(1, len(rows))
         return float(np.logaddexp(0, -z).mean()) if len(rows) else 0.0, np.bincount(cells, np.repeat(d, np.diff(first)), 1 << bits), float(d.sum())
@@ -163,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     by_label: dict[int | None, list[np.ndarray]] = {0: [], 1: [], None: []}
     for r in sample.toArrow().to_batches():
         for k, label, cells in zip(r.column(0).to_pylist(), r.column(1).to_pylist(), r.column(2), strict=True):
-            got[k].append(cells.values.to_numpy().astype(np.int64))
+            got[k].append(cells.values.to_numpy())  # a view, no copy
             if k == 0:
                 by_label.setdefault(label, []).append(got[k][-1])
     if not got[0] or not got[1]:
@@ -173,7 +181,10 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     rest = open_share(got[1], by_label[0], by_label[None], counts[0] / counts[1], bits)
     prior = (known + (n - labelled) * rest) / n
     prior = min(prior, 1 - 0.5 / n)
-    return fit(got[1], got[0], prior, bits)
+    model = fit(got[1], got[0], prior, bits)
+    del got, by_label, k
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def _score(model, bits: int):

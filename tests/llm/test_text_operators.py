@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -335,6 +336,15 @@ def test_toxicity_prior_is_taken_off_the_unlabelled(spark):
     assert np.flatnonzero(toxicity.informative(positive, unlabelled, 0.1, 4)).tolist() == [1]
 
 
+def test_informative_makes_no_copy_of_all_cells():
+    rows = [np.arange(i, i + 500, dtype=np.int32) for i in range(4000)]
+    tracemalloc.start()
+    toxicity.informative(rows, rows, 0.1, 13)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6e6  # all cells are 8 MB, 16 MB as 64-bit numbers
+
+
 def test_toxicity_prior_of_rows_without_labels(spark):
     toxic, clean, odd = [np.array([1, 2])] * 20, [np.array([2, 3])] * 60, [np.array([2, 3])] * 95 + [np.array([1, 2])] * 5
     assert abs(toxicity.open_share(toxic, clean, odd, 0.25, 4) - 0.05) < 1e-9 and toxicity.open_share(toxic, clean, clean, 0.25, 4) == 0.0
@@ -386,6 +396,15 @@ def test_mix_meets_targets(spark):
         assert r.taken == r.copies * r.size
 
 
+def test_mix_tables_need_no_job(spark):
+    rows = spark.range(3).withColumn("k", F.concat(F.lit("s"), "id"))
+    both = mixing._with(rows, [("s0", 1.5, None, 2**40), ("s2", -0.5, "ü", -1)], "k string, x double, t string, n long")
+    assert [tuple(r) for r in both.orderBy("id").collect()] == [("s0", 0, 1.5, None, 2**40), ("s2", 2, -0.5, "ü", -1)]
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation" in plan and "LogicalRDD" not in plan
+    assert mixing._with(rows, [], "k string, x double").count() == 0
+
+
 def test_mix_edges(edge, empty):
     out = mixing.mix(edge).collect()
     assert len(out) == edge.count() and all(r.taken == 0 for r in out if r.size == 0) and mixing.mix(empty).count() == 0
