@@ -41,12 +41,8 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it, whole."""
     rest(spark)
-    copies = mixing.mix(docs.select("doc_id", "text", "source"), whole=True).where("copies > 0 and size > 0")
-    copies = copies.groupBy("doc_id", "source", "size").agg(F.first("copies").alias("copies"))
-    words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    same = docs["doc_id"].eqNullSafe(F.col("m.doc_id")) & docs["source"].eqNullSafe(F.col("m.source")) & (words == F.col("m.size"))
-    both = docs.join(copies.alias("m"), same).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col("m.copies"))).alias("__copy"))
-    return both.select(*docs.columns)
+    mixed = mixing.mix(docs, whole=True, rows=True).where("copies > 0 and size > 0")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("__copy")).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,21 +86,26 @@ def solve(hist: DataFrame, sources: list, goal: np.ndarray, cap: float = CAP, st
     return tilt.tolist()
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, whole: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, whole: bool = False, rows: bool = False) -> DataFrame:
     """(doc_id, source, size, source_size, target, rate, copies, taken) for every row of docs (doc_id, text, source).
 
     size: words of the text, null text 0; documents without words take 0. Null source: a source of its own, after the others.
     An empty table gives an empty result. Equal rows get equal results. ``whole``: taken is copies * size, and a source comes
     as near to its target as whole copies allow; else the last copy of one document of each source is cut (copies counts it
-    as none). Rows without doc_id are mixed like others.
+    as none). Rows without doc_id are mixed like others. ``rows`` (with whole): a last column ``row`` holds all columns of docs; what is
+    taken of a row follows from its doc_id, source and size, so texts are read once more and neither joined nor shuffled.
     """
     key = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source")))
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    sized = saved(docs.select("doc_id", "source", key.alias("k"), size.alias("size")), "mix-sizes")
+    if rows and not whole:
+        raise ValueError("rows are given with whole copies only")
+    row = [F.struct(*docs.columns).alias("row")] if rows else []
+    given = docs.select("doc_id", "source", key.alias("k"), size.alias("size"), *row)
+    sized = saved(given.drop("row"), "mix-sizes")
     hist = saved(sized.groupBy("k", "size").agg(F.count("*").cast("double").alias("c")), "mix-histogram")
     sources = hist.groupBy("k").agg(F.sum(F.col("c") * F.col("size")).alias("total"), F.sum("c").alias("n")).collect()
     if not sources:
-        return sized.select("doc_id", "source", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0.0).alias("rate"), F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("taken"))
+        return given.select("doc_id", "source", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0.0).alias("rate"), F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("taken"), *given.columns[4:])
     sources.sort(key=lambda r: (r.k == "n", r.k.encode()))
     total = np.array([float(r.total) for r in sources])
     goal = targets(total, weights, cap)
@@ -109,11 +114,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, w
     tilt = solve(saved(scaled, "mix-scaled"), sources, goal, cap)
 
     table = [(r.k, int(t), float(g), float(m), 0.0 if math.isinf(l) else l, 0.0 if l == -math.inf else float(cap) if l == math.inf else -1.0) for r, t, g, m, l in zip(sources, total, goal, mean, tilt, strict=True)]
-    rated = _with(sized, table, "k string, source_size long, target double, mean double, l double, fixed double")
     rate = F.when(F.col("fixed") >= 0, F.col("fixed")).otherwise(F.least(F.lit(float(cap)), F.exp(F.least(F.col("l") * F.col("size") / F.col("mean"), F.lit(700.0)))))
     u = F.shiftrightunsigned(F.xxhash64("doc_id", "size"), 11) / F.lit(float(1 << 53))
-    rated = saved(rated.select("doc_id", "source", "k", "size", "source_size", "target", rate.alias("rate"), u.alias("u")), "mix-rates")
-    rated = rated.withColumn("v", F.col("rate") + F.col("u"))
+
+    def rates(of: DataFrame) -> DataFrame:
+        both = _with(of, table, "k string, source_size long, target double, mean double, l double, fixed double")
+        return both.select("doc_id", "source", "k", "size", "source_size", "target", rate.alias("rate"), u.alias("u"), *of.columns[4:])
+
+    rated = saved(rates(sized), "mix-rates").withColumn("v", F.col("rate") + F.col("u"))
 
     def copies(shift) -> Column:
         return F.least(F.lit(cap), F.greatest(F.lit(0), F.floor(F.col("v") + shift)))
@@ -134,6 +142,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, w
     if whole:
         start = np.where(np.abs(above - goal) < np.abs(got - goal), start + width, start)
     shifts = [(r.k, float(start[i]), float(max(0, math.floor(goal[i] - got[i] + 1e-6)))) for i, r in enumerate(sources)]
+    if rows:
+        rated = rates(given).withColumn("v", F.col("rate") + F.col("u"))
     done = _with(rated, shifts, "k string, shift double, missing double").withColumn("copies", copies(F.col("shift")).cast("long"))
     if whole:
         taken = F.col("size") * F.col("copies")
@@ -151,7 +161,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, w
         done = _with(done, edges, "k string, eg double, ed string, es long, ties double")
         part = F.least(F.col("size"), F.floor(F.col("missing") / F.col("ties")))
         taken = F.col("size") * F.col("copies") + F.when(same, part).otherwise(0)
-    return done.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", taken.cast("long").alias("taken"))
+    return done.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", taken.cast("long").alias("taken"), *given.columns[4:])
 
 
 def op10_mix_sources(spark, sf_dir: str) -> DataFrame:

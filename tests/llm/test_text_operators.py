@@ -5,12 +5,14 @@ import random
 import re
 import tracemalloc
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from probeframe.llm import common, line_dedup, mixing, ngram_join, passages, spot_signatures, toxicity, words
 
 
@@ -405,6 +407,18 @@ def test_mix_tables_need_no_job(spark):
     assert mixing._with(rows, [], "k string, x double").count() == 0
 
 
+def test_pipeline_mix_moves_no_texts(spark, edge, empty, sf):
+    out = corpus_pipeline.mix_sources(spark, edge, sf)
+    assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    want = Counter()
+    for r in mixing.mix(edge, whole=True).collect():
+        want[r.doc_id, r.source, r.size] = max(want[r.doc_id, r.source, r.size], r.copies if r.size else 0)
+    given = Counter(tuple(r) for r in edge.collect())
+    copies = {r: n * want[r[0], r[3], len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))] for r, n in given.items()}
+    assert Counter(tuple(r) for r in out.collect()) == Counter({r: n for r, n in copies.items() if n}) and out.columns == edge.columns
+    assert corpus_pipeline.mix_sources(spark, empty, sf).count() == 0
+
+
 def test_mix_edges(edge, empty):
     out = mixing.mix(edge).collect()
     assert len(out) == edge.count() and all(r.taken == 0 for r in out if r.size == 0) and mixing.mix(empty).count() == 0
