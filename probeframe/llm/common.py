@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import clear_scratch, scratch, shared_folder
 
-__all__ = ["BROADCAST_IDS", "bounded_batches", "clear_scratch", "components", "only_listed", "rest", "saved", "scratch", "shared_folder", "ship_package"]
+__all__ = ["BROADCAST_IDS", "bounded_batches", "clear_scratch", "components", "only_listed", "release", "rest", "saved", "scratch", "shared_folder", "ship_package"]
 
 #: Rows up to which a list of ids may be broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 500_000
@@ -32,6 +34,15 @@ def rest(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def release() -> None:
+    """After large work in the driver's Python: what Arrow and the C library keep of freed memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once for each context."""
     context = spark.sparkContext

@@ -2,8 +2,9 @@
 
 Every document gets a rate r = min(cap, exp(l_s * size / mean size of its source)): among all rates that give each source its
 target of words these are the closest to 1 in relative entropy, under the cap. The l_s are the variables of the convex dual;
-Newton steps (bisection where a step leaves its bracket) solve it. One step is one aggregation of the table of
-(source, size, number of documents), which is much smaller than the documents; only a row for each source reaches the driver.
+Newton steps (bisection where a step leaves its bracket) solve it. One step sums up the table of (source, size, number of
+documents), which is much smaller than the documents. Up to HISTOGRAM_ROWS rows of it come to the driver, once, and steps are sums
+in numpy; beyond that each step is an aggregation, of which only a row for each source reaches the driver.
 Rates become copies by floor(r + u + shift), with u uniform from a hash of the document, so reruns agree. The shift of a
 source is narrowed by aggregations until its sum of words meets the target; the one document at the shift is cut to what is
 missing, unless only whole copies are asked for.
@@ -12,6 +13,7 @@ missing, unless only whole copies are asked for.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3
 #: Sources up to which their table of targets is broadcast; with more it is joined by a shuffle.
 BROADCAST_SOURCES = 100_000
+#: Rows of the table of sizes up to which Newton steps are made in the driver (2 MB), where they cost no jobs and no broadcasts.
+HISTOGRAM_ROWS = 50_000
 GRID = 32
 KINDS = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
 
@@ -53,8 +57,38 @@ def _with(rows: DataFrame, table: list[tuple], names: str) -> DataFrame:
     return rows.join(F.broadcast(other) if len(table) <= BROADCAST_SOURCES else other, "k")
 
 
-def solve(hist: DataFrame, sources: list, goal: np.ndarray, cap: float = CAP, steps: int = 60, tol: float = 1e-9) -> list[float]:
-    """The tilt of each source. hist: k, x (size over the source's mean), size, c."""
+def _steps_by_plan(hist: DataFrame, means: list[tuple], cap: float) -> Callable[[list[tuple]], Iterable[tuple]]:
+    """(k, tilt) of some sources -> (k, words at that tilt, their slope) of each. hist: k, size, c; means: (k, mean size)."""
+    hist = saved(_with(hist, means, "k string, mean double").withColumn("x", F.col("size") / F.col("mean")), "mix-scaled")
+    e = F.exp(F.least(F.col("l") * F.col("x"), F.lit(700.0)))
+    words = F.col("c") * F.col("size") * F.least(e, F.lit(float(cap)))
+    slope = F.when(e < cap, F.col("c") * F.col("size") * F.col("x") * e).otherwise(0.0)
+    return lambda state: _with(hist, state, "k string, l double").groupBy("k").agg(F.sum(words), F.sum(slope)).collect()
+
+
+def _steps_in_driver(hist: DataFrame, means: list[tuple], cap: float) -> Callable[[list[tuple]], Iterable[tuple]]:
+    """The same sums of a table of at most HISTOGRAM_ROWS rows, in the order of sizes."""
+    table = hist.select("k", "size", "c").toArrow()
+    at = {k: i for i, (k, _) in enumerate(means)}
+    source = np.array([at[k] for k in table["k"].to_pylist()])
+    size, count = table["size"].to_numpy(), table["c"].to_numpy()
+    order = np.lexsort((size, source))
+    source, size, count = source[order], size[order].astype(float), count[order]
+    x, words = size / np.array([m for _, m in means])[source], count * size
+    ends = np.searchsorted(source, np.arange(len(means) + 1))
+
+    def run(state: list[tuple]):
+        for k, l in state:
+            own = slice(ends[at[k]], ends[at[k] + 1])
+            e = np.exp(np.minimum(l * x[own], 700.0))
+            free = e < cap
+            yield k, float((words[own] * np.minimum(e, cap)).sum()), float((words[own][free] * x[own][free] * e[free]).sum())
+
+    return run
+
+
+def solve(sums: Callable[[list[tuple]], Iterable[tuple]], sources: list, goal: np.ndarray, cap: float = CAP, steps: int = 60, tol: float = 1e-9) -> list[float]:
+    """The tilt of each source. sums: (k, tilt) of the open sources -> (k, words at that tilt, their slope)."""
     n = len(sources)
     tilt, lo, hi = np.zeros(n), np.full(n, -np.inf), np.full(n, np.inf)
     total = np.array([float(s.total) for s in sources])
@@ -66,17 +100,14 @@ def solve(hist: DataFrame, sources: list, goal: np.ndarray, cap: float = CAP, st
         if done.all():
             break
         state = [(s.k, float(tilt[i])) for i, s in enumerate(sources) if not done[i]]
-        e = F.exp(F.least(F.col("l") * F.col("x"), F.lit(700.0)))
-        words = F.col("c") * F.col("size") * F.least(e, F.lit(float(cap)))
-        slope = F.when(e < cap, F.col("c") * F.col("size") * F.col("x") * e).otherwise(0.0)
-        for r in _with(hist, state, "k string, l double").groupBy("k").agg(F.sum(words).alias("f"), F.sum(slope).alias("g")).collect():
-            i = at[r.k]
-            off = r.f - goal[i]
+        for k, words, slope in sums(state):
+            i = at[k]
+            off = words - goal[i]
             if abs(off) <= tol * max(1.0, goal[i]):
                 done[i] = True
                 continue
             lo[i], hi[i] = (lo[i], tilt[i]) if off > 0 else (tilt[i], hi[i])
-            step = tilt[i] - off / r.g if r.g > 0 else math.nan
+            step = tilt[i] - off / slope if slope > 0 else math.nan
             if not lo[i] < step < hi[i]:
                 wide = 1.0 + 2 * abs(tilt[i])
                 step = tilt[i] + wide if math.isinf(hi[i]) else tilt[i] - wide if math.isinf(lo[i]) else (lo[i] + hi[i]) / 2
@@ -103,15 +134,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, w
     given = docs.select("doc_id", "source", key.alias("k"), size.alias("size"), *row)
     sized = saved(given.drop("row"), "mix-sizes")
     hist = saved(sized.groupBy("k", "size").agg(F.count("*").cast("double").alias("c")), "mix-histogram")
-    sources = hist.groupBy("k").agg(F.sum(F.col("c") * F.col("size")).alias("total"), F.sum("c").alias("n")).collect()
+    sources = hist.groupBy("k").agg(F.sum(F.col("c") * F.col("size")).alias("total"), F.sum("c").alias("n"), F.count("*").alias("sizes")).collect()
     if not sources:
         return given.select("doc_id", "source", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0.0).alias("rate"), F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("taken"), *given.columns[4:])
     sources.sort(key=lambda r: (r.k == "n", r.k.encode()))
     total = np.array([float(r.total) for r in sources])
     goal = targets(total, weights, cap)
     mean = [r.total / r.n if r.total else 1.0 for r in sources]
-    scaled = _with(hist, [(r.k, m) for r, m in zip(sources, mean, strict=True)], "k string, mean double").withColumn("x", F.col("size") / F.col("mean"))
-    tilt = solve(saved(scaled, "mix-scaled"), sources, goal, cap)
+    steps = _steps_in_driver if sum(r.sizes for r in sources) <= HISTOGRAM_ROWS else _steps_by_plan
+    tilt = solve(steps(hist, [(r.k, m) for r, m in zip(sources, mean, strict=True)], cap), sources, goal, cap)
 
     table = [(r.k, int(t), float(g), float(m), 0.0 if math.isinf(l) else l, 0.0 if l == -math.inf else float(cap) if l == math.inf else -1.0) for r, t, g, m, l in zip(sources, total, goal, mean, tilt, strict=True)]
     rate = F.when(F.col("fixed") >= 0, F.col("fixed")).otherwise(F.least(F.lit(float(cap)), F.exp(F.least(F.col("l") * F.col("size") / F.col("mean"), F.lit(700.0)))))

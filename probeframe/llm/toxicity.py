@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, saved
+from .common import bounded_batches, release, saved
 from .words import LOWER, SPACE, word_table
 
 BITS = 18
@@ -182,8 +182,8 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     prior = (known + (n - labelled) * rest) / n
     prior = min(prior, 1 - 0.5 / n)
     model = fit(got[1], got[0], prior, bits)
-    del got, by_label, k
-    pa.default_memory_pool().release_unused()
+    del got, by_label, k, cells, r
+    release()
     return model
 
 
