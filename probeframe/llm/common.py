@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..shared import clear_scratch, scratch, shared_folder
 
-__all__ = ["BROADCAST_IDS", "bounded_batches", "clear_scratch", "components", "only_listed", "release", "rest", "saved", "scratch", "shared_folder", "ship_package"]
+__all__ = ["BROADCAST_IDS", "bounded_batches", "clear_scratch", "components", "only_listed", "release", "released", "rest", "saved", "scratch", "shared_folder", "ship_package"]
 
 #: Rows up to which a list of ids may be broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 500_000
@@ -35,7 +35,7 @@ def rest(spark: SparkSession) -> None:
 
 
 def release() -> None:
-    """After large work in the driver's Python: what Arrow and the C library keep of freed memory goes back to the system."""
+    """After large work in Python: what Arrow and the C library keep of freed memory goes back to the system."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -43,6 +43,18 @@ def release() -> None:
         pass
 
 
+def released(run):
+    """run for mapInArrow, after which its worker gives freed memory back: workers wait beside the executor's later, native stages."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once for each context."""
     context = spark.sparkContext

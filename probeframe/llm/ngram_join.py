@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, only_listed, saved
+from .common import bounded_batches, components, only_listed, released, saved
 from .words import LOWER, grams, mix, word_table
 
 SHINGLE = 5
@@ -394,7 +394,7 @@ def block_links(asked: DataFrame, node: DataFrame, texts: DataFrame, share: tupl
     blocks = node.join(counts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.lit(0).alias("kind"), "rep").join(known, "rep")
     fields = ["block", "run", "kind", "rep", "comp", "text"]
     rows = blocks.select(*fields).union(members.select(*fields)).repartition("block", "run").sortWithinPartitions("block", "run", "kind", "comp")
-    return rows.mapInArrow(_block_links(share), "a long, b long")
+    return rows.mapInArrow(released(_block_links(share)), "a long, b long")
 
 
 def _power(n: float) -> int:
@@ -404,9 +404,9 @@ def _power(n: float) -> int:
 def left_by_sieve(texts: DataFrame, elements: int, share: tuple[int, int]) -> DataFrame:
     """doc_id of the rows of texts (doc_id, text) whose sets may have links."""
     buckets = max(BUCKETS, _power(elements / 2 / BUCKET))
-    dealt = texts.mapInArrow(_sieve(buckets, share), DEALT).repartition("bucket").sortWithinPartitions("bucket")
-    counted = dealt.mapInArrow(_count(False), COUNTED).repartition("chunk").sortWithinPartitions("chunk", "kind")
-    return counted.select("chunk", "kind", "a", "b").mapInArrow(_survivors, "doc_id long")
+    dealt = texts.mapInArrow(released(_sieve(buckets, share)), DEALT).repartition("bucket").sortWithinPartitions("bucket")
+    counted = dealt.mapInArrow(released(_count(False)), COUNTED).repartition("chunk").sortWithinPartitions("chunk", "kind")
+    return counted.select("chunk", "kind", "a", "b").mapInArrow(released(_survivors), "doc_id long")
 
 
 def prefixes(texts: DataFrame, elements: int, share: tuple[int, int]) -> DataFrame:
@@ -415,10 +415,10 @@ def prefixes(texts: DataFrame, elements: int, share: tuple[int, int]) -> DataFra
     none = [F.lit(None).cast("binary").alias(c) for c in "ab"]
     rows = texts.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), F.lit(0).alias("kind"), F.lit(0).alias("bucket"), "doc_id", "text", *none)
     inside = rows.repartition("chunk").sortWithinPartitions("chunk", "doc_id", "text")
-    counted = inside.mapInArrow(_deal(buckets), DEALT).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(True), COUNTED)
+    counted = inside.mapInArrow(released(_deal(buckets)), DEALT).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(released(_count(True)), COUNTED)
     back = counted.select("chunk", "kind", "bucket", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "a", "b")
     both = rows.union(back).repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket", "doc_id", "text")
-    return both.mapInArrow(_prefixes(buckets, share), PREFIX)
+    return both.mapInArrow(released(_prefixes(buckets, share)), PREFIX)
 
 
 def near_links(kept: DataFrame, texts: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -429,7 +429,7 @@ def near_links(kept: DataFrame, texts: DataFrame, share: tuple[int, int]) -> Dat
     deal = F.xxhash64("way", "low", F.pmod(F.xxhash64("way", "rep"), blocks))
     meet = meet.join(groups, ["way", "low"]).select(deal.alias("block"), F.col("rep").alias("doc_id"))
     rows = meet.join(texts, "doc_id").select("block", "doc_id", "text").repartition("block").sortWithinPartitions("block")
-    return rows.mapInArrow(_near(share), "a long, b long")
+    return rows.mapInArrow(released(_near(share)), "a long, b long")
 
 
 def linked_components(docs: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
@@ -441,7 +441,7 @@ def linked_components(docs: DataFrame, share: tuple[int, int] = SHARE) -> DataFr
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = saved(docs.mapInArrow(_describe, "doc_id long, n int, k1 long, k2 long"), "ngram-described")
+    described = saved(docs.mapInArrow(released(_describe), "doc_id long, n int, k1 long, k2 long"), "ngram-described")
     # written, so that the join shuffles both sides and a class of very many copies can be split
     classes = saved(described.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")), "ngram-classes")
     members = saved(described.join(classes.hint("merge"), ["k1", "k2", "n"], "left").select("doc_id", "n", "rep"), "ngram-members")

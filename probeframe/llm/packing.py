@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, saved
+from .common import bounded_batches, released, saved
 from .tokens import END, VOCABULARY, encoder, vocabulary_path
 
 WINDOW = 4096
@@ -159,7 +159,7 @@ def pack(docs: DataFrame, window: int = WINDOW, width: int = WIDTH, vocabulary:
     bounded_batches(spark, rows=3000, mb=16)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("copy"), "text")
     schema = "doc_id long, copy long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
-    pieces = saved(docs.mapInArrow(_pieces(vocabulary_path(vocabulary), window, end, with_ids), schema), "pack-pieces")
+    pieces = saved(docs.mapInArrow(released(_pieces(vocabulary_path(vocabulary), window, end, with_ids)), schema), "pack-pieces")
     pieces = pieces.withColumn("bin", F.ceil(F.col("length") / width).cast("int"))
     bins = window // width
     hist = np.zeros(bins + 1, dtype=np.int64)
@@ -185,7 +185,7 @@ def pack(docs: DataFrame, window: int = WINDOW, width: int = WIDTH, vocabulary:
     ranked = salted.withColumn("rank", F.row_number().over(order) - 1).withColumn("copy", (F.row_number().over(copies) - 1).cast("long"))
     counts = F.broadcast(counts) if salts * (bins + 1) <= 1_000_000 else counts
     ranked = ranked.join(counts, ["bin", "salt"]).withColumn("rank", (F.col("rank") + F.col("before")).cast("long"))
-    placed = ranked.select(*NAMES, "bin", "rank").mapInArrow(_places(table), schema + ", sequence_id long")
+    placed = ranked.select(*NAMES, "bin", "rank").mapInArrow(released(_places(table)), schema + ", sequence_id long")
     placed = saved(placed, "pack-placed")
     inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start", "copy", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, release, saved
+from .common import bounded_batches, release, released, saved
 from .words import LOWER, SPACE, word_table
 
 BITS = 18
@@ -166,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     toxic = ids.where("label = 1").withColumn("positive", F.lit(1)).orderBy(rank[0], "doc_id").limit(max_positive)
     drawn = ids.withColumn("positive", F.lit(0)).orderBy(rank[1], "doc_id").limit(max_unlabelled)
     chosen = saved(toxic.union(drawn), "toxicity-sample")
-    sample = rows.join(F.broadcast(chosen), "doc_id").select("positive", "text", "label").mapInArrow(_cells(bits), "positive int, label int, cells array<int>")
+    sample = rows.join(F.broadcast(chosen), "doc_id").select("positive", "text", "label").mapInArrow(released(_cells(bits)), "positive int, label int, cells array<int>")
     got: dict[int, list[np.ndarray]] = {0: [], 1: []}
     by_label: dict[int | None, list[np.ndarray]] = {0: [], 1: [], None: []}
     for r in sample.toArrow().to_batches():
@@ -205,7 +205,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, key: str = "d
         return docs.select(F.col(key).alias("key"), F.lit(0.0).alias("score"))
     kind = dict(docs.dtypes)[key]
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col(key).alias("key"), "text").mapInArrow(_score(sent, bits), f"key {kind}, score double")
+    return docs.select(F.col(key).alias("key"), "text").mapInArrow(released(_score(sent, bits)), f"key {kind}, score double")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

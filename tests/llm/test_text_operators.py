@@ -348,11 +348,30 @@ def test_informative_makes_no_copy_of_all_cells():
     assert peak < 6e6  # all cells are 8 MB, 16 MB as 64-bit numbers
 
 
-@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="glibc only")
-def test_training_gives_memory_back(spark, monkeypatch):
-    def held():
-        return int(re.search(r"Anonymous:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+def held() -> float:
+    """MB that this process holds."""
+    return int(re.search(r"Anonymous:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+
+
+glibc = pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="glibc only")
+
+
+@glibc
+def test_tasks_give_memory_back(spark, edge):
+    def run(batches):
+        parts = [np.ones(12_000) for _ in range(800)]  # 77 MB in pieces too small for the system
+        pins.extend(parts[::100])
+        yield from batches
+
+    pins, before = [], held()
+    assert list(common.released(run)(iter([1, 2]))) == [1, 2] and len(pins) == 8
+    assert held() - before < 40
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (toxicity.score(edge, (np.zeros(1 << toxicity.BITS), 0.0)), ngram_join.left_by_sieve(edge.select("doc_id", "text"), 10, (3, 4)))]
+    assert [plan.count("MapInArrow whole(") for plan in plans] == [plan.count("MapInArrow ") for plan in plans] == [1, 3]
+
 
+@glibc
+def test_training_gives_memory_back(spark, monkeypatch):
     def fit(*_):
         parts = [np.ones(12_000) for _ in range(800)]  # 77 MB in pieces too small for the system
         pins.extend(parts[::100])
